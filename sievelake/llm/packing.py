@@ -154,8 +154,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
             where = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             rank = where["nth"].to_numpy() + where["base"].to_numpy()
             bins, offsets = placement.place(where["length"].to_numpy(), rank)
-            columns = [where[n] for n in placed_names[:5]] + [pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [where["ids"]] * with_ids, names=placed_names)
+            where |= {"sequence_id": pa.array(bins, pa.int64()), "offset": pa.array(offsets, pa.int64())}
+            yield pa.RecordBatch.from_arrays([where[name] for name in placed_names], names=placed_names)
 
     placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + more
     placed_names = [column.split()[0] for column in placed.split(", ")]

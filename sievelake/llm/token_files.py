@@ -171,7 +171,9 @@ def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -
                     if with_ids:
                         all_ids.append(ids.astype(np.int32))
                 columns = [pa.array(c, pa.int64()) for c in (segment.doc_ids, starts, sizes, crcs)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids, names=names)
+                if with_ids:
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     segments = spark.read.parquet(source)
     # One row per range partition, so its size is bounded by the partition count of the write.
