@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelake.llm.byte_bpe import encode_and_decode
+from sievelake.llm.exact_dedup import exact_duplicates
 from sievelake.llm.line_dedup import digest_of_lines, drop_frequent_lines
 from sievelake.llm.near_dedup import near_duplicates
 from sievelake.llm.packing import pack_documents
 from sievelake.llm.pii import replace_pii
+from sievelake.llm.sharding import shard_documents
 from sievelake.llm.token_files import token_table
 from sievelake.llm.topk import search_table
+from sievelake.llm.toxicity import is_held_out, score_documents, train
 from sievelake.storage import table
 
 LIBRARY_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +38,24 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_table(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", F.col("text").alias("clean_text"))
 
 
+def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), RANKS_FILE, public_tokenizers.PATTERN)
 
@@ -53,12 +70,21 @@ QUERIES = {
     "op2_token_id_output": op2_token_id_output,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_toxicity": op5_toxicity,
+    "op6_exact_dedup": op6_exact_dedup,
     "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_hash_tree_sharding": op8_hash_tree_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(s) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY s)
+    """,
     "op4_exact_top_k": r"""
         WITH usable AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
