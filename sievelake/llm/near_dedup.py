@@ -7,13 +7,18 @@ Plan, for a corpus of any size:
    so a text that holds a third of all rows costs one sketch row.
 2. A class has one row per band. Buckets of one class are dropped. In the others the
    least class is the centre of a star: each other member is compared with the centre only.
-3. Links are confirmed on the full sets of the two texts. Components are found by label
+3. Pairs whose sizes, or 256-bit parity maps of their sets, rule out enough likeness are
+   dropped, exactly. Links are confirmed on the full sets of the two texts. Components are found by label
    spreading in shared tables.
 4. A star alone could miss a link between two members of which neither is like the centre.
-   So buckets whose members are not yet all in one component get further stars, with eight
-   times the centres in each round, until each bucket is one component or all its members
-   have been centres. Candidate rows stay bounded by members times centres, and buckets of
-   real copies close after the first star.
+   So buckets whose members are not yet all in one component go on. Small ones get stars
+   around all their members. A large one holds texts that share much but not enough (a
+   common passage, say), so its members are dealt anew by an exact rule: in any one order
+   of shingles, commonest last, two sets that are alike enough share a shingle among the
+   first n - ceil(percent * n) + 1 of each. Texts alike only in what is common meet no
+   more. These buckets get stars with eight times the centres in each round, members of
+   small components first. A centre has met all of its bucket and leaves it; a bucket is
+   closed when those left are one component.
 
 A pair at the threshold meets in no band with a probability of about 4e-6 (defaults); above
 it, less. A pair that meets is always settled exactly.
@@ -22,36 +27,44 @@ it, less. A pair that meets is always settled exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.shingles import band_keys, enough_in_common, one_permutation_sketch, set_name, shingle_set
+from sievelake.llm.shingles import PARITY_WORDS, band_keys, enough_in_common, one_permutation_sketch, parity_map, set_name, shingle_set
 from sievelake.operators.components import connected_components
 from sievelake.storage import Scratch
 
 #: Centres per bucket grow by this factor from one round to the next.
 STAR_GROWTH = 8
+#: Texts from which the commonest shingles are learnt, and how many are kept; they only set an order, any order is exact.
+ORDER_TEXTS, ORDER_SHINGLES = 1000, 100_000
+_CELLS = [f"p{i}" for i in range(PARITY_WORDS)]
 
 
 def sketch_documents(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_name (null for an empty set) and bucket keys of each row of (doc_id, text)."""
+    """doc_id, n_shingles, set_name (null for an empty set), parity map and bucket keys of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, keys = [], [], []
+            sizes, names, maps, keys = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = shingle_set(text, words)
                 sizes.append(len(found))
                 names.append(set_name(found) if len(found) else None)
+                maps.append(parity_map(found) if len(found) else None)
                 keys.append(band_keys(one_permutation_sketch(found, bands * rows), bands) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_name", "buckets"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (maps, keys))],
+                names=["doc_id", "text_hash", "n_shingles", "set_name", "parity", "buckets"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_name binary, buckets array<long>")
+    rows_ = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows_.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_name binary, parity array<long>, buckets array<long>")
 
 
 def _texts_of_classes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -92,7 +105,62 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of shingles that recur in a bounded number of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["shingle"])
+
+    some = texts.orderBy("set_name").limit(ORDER_TEXTS).select("text").mapInArrow(run, "shingle long")
+    often = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES)
+    found = sorted((np.uint64(h & (2**64 - 1)), n) for h, n in often.collect())  # at most ORDER_SHINGLES
+    return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(set_name, n, pos, bucket, parity map): the first shingles of each text, in the order in which the commonest come last."""
+    known, counts = _common_shingles(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, sizes, places, maps, keys = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                found = shingle_set(text, words)
+                at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                rank = np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)
+                first = len(found) + (-percent * len(found)) // 100 + 1
+                chosen = found[np.argsort(rank, kind="stable")[:first]]
+                owner.append(np.full(len(chosen), i))
+                sizes.append(np.full(len(chosen), len(found)))
+                places.append(np.arange(len(chosen)))
+                maps.append(np.repeat(parity_map(found)[:, None], len(chosen), axis=1))
+                keys.append(chosen.view(np.int64))
+            if owner:
+                owners = pa.array(np.concatenate(owner))
+                columns = [batch.column(0).take(owners), *(pa.array(np.concatenate(x)) for x in (sizes, places, keys, *zip(*maps, strict=True)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["set_name", "n", "pos", "bucket", *_CELLS])
+
+    return texts.select("set_name", "text").mapInArrow(run, "set_name binary, n long, pos long, bucket long" + "".join(f", {c} long" for c in _CELLS))
+
+
+def _with_company(cells: DataFrame) -> DataFrame:
+    """The cells whose bucket has more members, and their number."""
+    shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return cells.join(shared, "bucket")
+
+
+def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The cells of buckets whose members span several components, with label and weight (classes in the component)."""
+    named = cells.select("set_name", "n", *_CELLS, "pos", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
+    named = named.join(sizes, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    named = named.withColumn("label", F.coalesce("component", "set_name")).drop("component")
+    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
+    return named.join(spread.where(F.col("low") != F.col("high")).select("bucket", "members"), "bucket")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text; other columns are ignored).
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of
@@ -100,47 +168,79 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     is the row's own. Null, empty and wordless texts have an empty set and are linked
     with nothing. Repeated rows come back as often as they went in. A null doc_id never
     names a component unless all of its component's are null. An empty table gives an
-    empty result.
+    empty result. with_keys adds text_hash (xxhash64 of the text) and component_key, which
+    names the component also where doc_ids repeat (null for an empty set).
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     sketch = scratch.save(sketch_documents(docs, words, bands, rows), "sketch")
     classes = scratch.save(
         sketch.where(F.col("set_name").isNotNull())
         .groupBy("set_name")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")),
         "classes",
     )
-    cells = classes.select("set_name", "n", F.explode("buckets").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    live = scratch.save(cells.join(shared, "bucket"), "live")
+    cells = classes.select("set_name", "n", *(F.col("parity")[i].alias(c) for i, c in enumerate(_CELLS)), F.explode("buckets").alias("bucket"))
+    live = _with_company(cells).withColumns({"label": F.col("set_name"), "weight": F.lit(1), "pos": F.lit(0)})
+    live = scratch.save(live, "live")
     wanted = live.select("set_name").distinct().join(classes.select("set_name", "doc_id"), "set_name")
     texts = scratch.save(_texts_of_classes(docs, wanted, words), "texts")
 
-    links, labels, before, centres = None, None, 0, 1
+    links, centres, first = None, 1, True
     while True:
-        ranked = live.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_name"))).where(F.col("rank") <= centres)
-        hub = ranked.where(F.col("rank") > before).select("bucket", F.col("set_name").alias("a"), F.col("n").alias("n_a"), *(["label"] if labels else []))
-        spoke = live.select("bucket", F.col("set_name").alias("b"), F.col("n").alias("n_b"), *([F.col("label").alias("label_b")] if labels else []))
-        pairs = spoke.join(hub, "bucket").where((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-        if labels:
-            pairs = pairs.where(F.col("label") != F.col("label_b"))
-        confirmed = _confirm(scratch.save(pairs.select("a", "b").distinct(), "pairs"), texts, words, percent)
+        # Members of small components first: once they have been centres, the rest is often one component. The first
+        # stars have the same centres in all buckets, so that bands share pairs; later ones differ, to reach more families.
+        live = live.withColumn("turn", F.xxhash64("set_name") if first else F.xxhash64("bucket", "set_name"))
+        order = Window.partitionBy("bucket").orderBy("weight", "turn", "set_name")
+        hubs = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+        hubs = scratch.save(hubs.select("bucket", F.col("set_name").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight"), F.col("turn").alias("hub_turn"), *(F.col(c).alias(f"hub_{c}") for c in _CELLS)), "hubs")
+        # What two sets can share from their first common shingle on must reach what likeness asks of their sizes.
+        enough = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) >= percent * (F.col("n") + F.col("hub_n"))
+        # And the hashes in which they surely differ must not exceed what it allows.
+        differ = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in _CELLS))
+        enough = enough & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n")))
+        # Of two hubs in one bucket only the first in order takes the pair.
+        near = (F.col("label") != F.col("hub_label")) & (F.struct("hub_weight", "hub_turn", "hub") < F.struct("weight", "turn", "set_name")) & enough
+        pairs = live.join(hubs, "bucket").where(near).select(F.least("set_name", "hub").alias("a"), F.greatest("set_name", "hub").alias("b"))
+        confirmed = _confirm(scratch.save(pairs.distinct(), "pairs"), texts, words, percent)
         links = scratch.save(links.union(confirmed) if links else confirmed, "links")
         labels = connected_components(links, scratch)
-        named = live.drop("label").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
-        named = scratch.save(named.withColumn("label", F.coalesce("component", "set_name")).drop("component"), "named")
-        apart = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("members").alias("m"))
-        apart = apart.where((F.col("low") != F.col("high")) & (F.col("m") > centres + 1)).select("bucket")
-        live = scratch.save(named.join(apart, "bucket", "left_semi"), "live")
+        sizes = scratch.save(labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "sizes")
+        rest = live.join(hubs.select("bucket", F.col("hub").alias("set_name")), ["bucket", "set_name"], "left_anti")
+        live = scratch.save(_apart(rest, labels, sizes), "live")
         if live.isEmpty():
             break
-        before, centres = centres, centres * STAR_GROWTH
+        if first:
+            large = live.where(F.col("members") > STAR_GROWTH)
+            dealt = _prefix_buckets(texts.join(large.select("set_name").distinct(), "set_name", "left_semi"), words, percent)
+            both = live.where(F.col("members") <= STAR_GROWTH).select("set_name", "n", *_CELLS, "pos", "bucket").unionByName(scratch.save(dealt, "prefixes"))
+            live = scratch.save(_apart(both, labels, sizes), "live")
+            scratch.drop("prefixes")
+            if live.isEmpty():
+                break
+        first, centres = False, centres * STAR_GROWTH
 
     grouped = classes.select("set_name", "doc_id").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "set_name"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = scratch.save(grouped.join(least, "component").select("set_name", "component_id"), "components")
-    scratch.drop("classes", "live", "texts", "pairs", "links", "named", "cc-labels")
+    of_class = scratch.save(grouped.join(least, "component").select("set_name", "component_id", F.col("component").alias("component_key")), "components")
+    scratch.drop("classes", "live", "texts", "hubs", "sizes", "pairs", "links", "cc-labels")
     placed = sketch.drop("buckets").join(of_class, "set_name", "left")
     component = F.when(F.col("set_name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    keys = ["text_hash", "component_key"] if with_keys else []
+    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *keys)
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """The rows of docs, all their columns, of which one stays per component of near_duplicates; it has the component's smallest doc_id.
+
+    Documents without words are in no component and all stay, but repeated rows of one
+    doc_id and text count as copies.
+    """
+    found = near_duplicates(docs, words, percent, bands, rows, with_keys=True).where("kept")
+    first = Window.partitionBy("component_key").orderBy("text_hash")
+    grouped = found.where(F.col("component_key").isNotNull()).withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    kept = grouped.select("doc_id", "text_hash").union(found.where(F.col("component_key").isNull()).select("doc_id", "text_hash")).distinct()
+    kept = kept.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
+    rows_ = docs.withColumn("__text", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")))
+    copies = Window.partitionBy("doc_id", "__text").orderBy("__text")
+    return rows_.withColumn("__nth", F.row_number().over(copies)).where("__nth = 1").select(*docs.columns)

@@ -79,6 +79,20 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+#: 64-bit words of a parity map.
+PARITY_WORDS = 4
+
+
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 256 cells holds an odd number of the set's hashes, as four 64-bit words.
+
+    A cell in which two sets differ holds a hash of just one of them, so the sets differ in
+    at least as many hashes as their maps differ in cells.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def enough_in_common(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * |a and b| >= percent * |a or b|, on the full sets."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
