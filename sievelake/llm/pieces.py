@@ -1,27 +1,37 @@
-"""Cutting texts into pre-token pieces and encoding each distinct piece once per worker.
-
-Byte-level BPE never merges across pieces, so a text's ids are the ids of its pieces in
-order. A worker keeps the ids of the pieces it has met in flat arrays; texts are then
-encoded by one dictionary lookup per piece and one vectorised gather.
+"""Cutting texts into chunks that byte-level BPE encodes apart, each distinct one once per worker.
+
+The pre-tokenizer's pattern always cuts before a space that a visible character follows,
+and around a lone newline between visible characters. In texts whose white space is only
+of these two kinds, the chunks between such cuts are found by str.split alone; all other
+texts are cut by the pattern itself. No merge crosses a cut, so a text's ids are those of
+its chunks in order. A worker keeps the ids of the chunks it has met in flat arrays; a text
+is then encoded by one dictionary lookup per chunk and one vectorised gather.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import regex
 
 #: Characters of texts encoded together, and pieces held at once of one very long text.
 CHUNK_CHARS, CHUNK_PIECES = 1_000_000, 250_000
-#: Distinct pieces a worker remembers; beyond it the memory starts anew, which costs time but changes nothing.
-REMEMBERED = 400_000
+#: Distinct chunks a worker remembers; beyond it the memory starts anew, which costs time but changes nothing.
+REMEMBERED = 1_000_000
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start .. start + size - 1 of each run, in one array."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class _Slots(dict):
-    """piece -> slot; a new piece gets the next slot and is noted."""
+    """chunk, as split leaves it -> slot; a new one gets the next slot and is noted."""
 
     def __init__(self):
         self.new: list[str] = []
@@ -33,9 +43,15 @@ class _Slots(dict):
 
 
 class PieceCache:
-    """Encodes texts by a function from distinct pieces to (all ids, ids per piece)."""
+    """Encodes texts by a function from distinct matches of the pattern to the ids of each.
+
+    A key is a chunk without its leading space if it is split's, or a piece of the pattern
+    after a mark that no split text can hold.
+    """
+
+    MARK = "\n\n"
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[Sequence[int]]]):
         self.find = regex.compile(pattern)
         self.encode_pieces = encode
         self._clear()
@@ -46,9 +62,34 @@ class PieceCache:
         self.used, self.known = 0, 0
         self.start, self.size = np.empty(1 << 17, np.int32), np.empty(1 << 17, np.int32)
 
+    def _cut(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if " ".join(text.split()) != text.replace("\n", " "):  # white space that is not one space or newline between visible characters
+            return [self.MARK + piece for piece in self.find.findall(text)]
+        chunks = text.replace("\n", " \n").split(" ")
+        chunks[0] = self.MARK + chunks[0]
+        return chunks
+
+    def _pieces(self, key: str) -> list[str]:
+        """The pattern's matches in a chunk; most are letters, or letters and one sign."""
+        if key.isalpha():
+            return [" " + key]
+        if key[:-1].isalpha() and key[-1] in ".,;:!?":
+            return [" " + key[:-1], key[-1]]
+        return self.find.findall(key[2:] if key.startswith(self.MARK) else key if key.startswith("\n") else " " + key)
+
     def _learn(self) -> None:
         new = self.slots.new
-        ids, sizes = self.encode_pieces(new)
+        pieces = [self._pieces(key) for key in new]
+        seen: dict[str, int] = {}
+        order = np.array([seen.setdefault(p, len(seen)) for p in chain.from_iterable(pieces)], np.int64)
+        found = self.encode_pieces(list(seen))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        ids = flat[_ragged((np.cumsum(lengths) - lengths)[order], lengths[order])]
+        ends = np.concatenate(([0], np.cumsum(lengths[order])))
+        sizes = np.diff(ends[np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         while self.known + len(new) > len(self.start):
@@ -65,11 +106,15 @@ class PieceCache:
             self._clear()
         slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int32, len(pieces))
         if self.slots.new:
-            self._learn()
+            collecting = gc.isenabled()
+            gc.disable()  # the many short lists made here have no cycles to look for
+            try:
+                self._learn()
+            finally:
+                if collecting:
+                    gc.enable()
         sizes = self.size[slots]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        at = np.repeat(self.start[slots] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[at], ends
+        return self.flat[_ragged(self.start[slots], sizes)], np.cumsum(sizes, dtype=np.int64)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn, as uint32; a null text has none."""
@@ -80,13 +125,13 @@ class PieceCache:
             if len(text) > CHUNK_CHARS:
                 yield from self._flush(waiting)
                 waiting, chars = [], 0
-                found = (m.group() for m in self.find.finditer(text))
+                found = (self.MARK + m.group() for m in self.find.finditer(text))
                 parts = []
                 while block := list(islice(found, CHUNK_PIECES)):
                     parts.append(self._ids(block)[0])
                 yield np.concatenate(parts)
                 continue
-            waiting.append(self.find.findall(text))
+            waiting.append(self._cut(text))
             chars += len(text)
             if chars > CHUNK_CHARS:
                 yield from self._flush(waiting)
@@ -113,8 +158,9 @@ _encoders: dict[str, "LibraryEncoder"] = {}
 class LibraryEncoder:
     """Ids by a file of the tokenizers library that has a byte-level pre-tokenizer and no normalizer.
 
-    The library encodes every distinct piece; texts with characters outside long-settled
-    scripts, whose classes may differ between Unicode versions, go to it whole.
+    The library's model encodes every distinct piece; texts with characters outside
+    long-settled scripts, whose classes may differ between Unicode versions, go to the
+    library whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -123,12 +169,21 @@ class LibraryEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        # The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for characters from 256 on.
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
         self.cache = PieceCache(pattern, self._encode_pieces)
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        owner = np.array(found.word_ids, np.int64)
-        return np.array(found.ids, np.uint32), np.bincount(owner, minlength=len(pieces))
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        return [[token.id for token in tokenize(self._in_alphabet(p))] for p in pieces]
+
+    def _in_alphabet(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():  # of these only the space is hidden
+            return piece.replace(" ", "\u0120")
+        return piece.encode().decode("latin-1").translate(self.alphabet)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         settled = [t is None or t.isascii() or _SETTLED.fullmatch(t) is not None for t in texts]
