@@ -162,14 +162,14 @@ def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -
         for batch in batches:
             for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 segment = Segment(data.as_py())
-                starts, sizes, crcs, all_ids = [], [], [], []
-                for k, end in enumerate(segment.ends.tolist()):
-                    ids = segment.document(k)
-                    starts.append(first + end - len(ids))
-                    sizes.append(len(ids))
-                    crcs.append(zlib.crc32(ids.astype("<u4", copy=False)))
+                crcs, all_ids = [], []
+                ids = segment.slice(0, segment.tokens).astype("<u4", copy=False)
+                begins = np.concatenate(([0], segment.ends[:-1])) if len(segment.ends) else segment.ends
+                for begin, end in zip(begins.tolist(), segment.ends.tolist(), strict=True):
+                    crcs.append(zlib.crc32(ids[begin:end]))
                     if with_ids:
-                        all_ids.append(ids.astype(np.int32))
+                        all_ids.append(ids[begin:end].astype(np.int32))
+                starts, sizes = begins + first, segment.ends - begins
                 columns = [pa.array(c, pa.int64()) for c in (segment.doc_ids, starts, sizes, crcs)]
                 if with_ids:
                     columns.append(pa.array(all_ids, pa.list_(pa.int32())))
