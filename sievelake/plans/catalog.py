@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from sievelake.plans import record_queries, table_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | table_queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | table_queries.ORACLE_SQL | record_queries.ORACLE_SQL
