@@ -62,7 +62,7 @@ def _pairs(rows: DataFrame, key: str, keep: Column | None = None, more: tuple[st
 
 def pairs_by_source(tricks: DataFrame) -> DataFrame:
     """Tricks (id, technique, cluster, source_writeups) of one technique and one source in different lexical clusters."""
-    rows = tricks.select("id", "cluster", F.struct("technique", F.explode("source_writeups").alias("url")).alias("key"))
+    rows = tricks.select("id", "cluster", "technique", F.explode("source_writeups").alias("url")).withColumn("key", F.struct("technique", "url")).drop("technique", "url")
     return _pairs(rows, "key", F.col("cluster_a") != F.col("cluster_b"), ("cluster",)).select("a", "b").distinct()
 
 
@@ -132,7 +132,9 @@ def vector_decisions(pairs: DataFrame, vectors: DataFrame, judged: bool) -> Data
     """
     a = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"))
     b = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    out = pairs.join(a, "a", "left").join(b, "b", "left").withColumn("similarity", F.round(cosine(F.col("va"), F.col("vb")), 6)).drop("va", "vb")
+    out = pairs.join(a, "a", "left").join(b, "b", "left")
+    both = F.col("va").isNotNull() & F.col("vb").isNotNull()
+    out = out.withColumn("similarity", F.when(both, F.round(cosine(F.col("va"), F.col("vb")), 6))).drop("va", "vb")
     doubt = "grey" if judged else "keep"
     decision = F.when(F.col("similarity").isNull(), doubt).when(F.col("similarity") >= VECTOR_MERGE, "merge").when(F.col("similarity") >= VECTOR_GREY, "grey")
     return out.withColumn("decision", decision.otherwise("keep"))

@@ -194,13 +194,13 @@ ORACLE_SQL = {
         WITH RECURSIVE {_TOKENS}, {_CLUSTERS},
         t AS (SELECT s.*, leader AS cluster, length(title) + length(description) + coalesce(list_sum(list_transform(steps, lambda x: length(x))), 0) AS size FROM sized s JOIN clusters c ON c.id = s.id),
         best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY confidence DESC, size DESC, len(sources) DESC, id) = 1),
-        s AS (SELECT cluster, u, min((id, i)) AS at FROM (SELECT cluster, id, unnest(sources) AS u, generate_subscripts(sources, 1) AS i FROM t) GROUP BY ALL),
-        k AS (SELECT cluster, code, min(id) AS at FROM t WHERE code <> '' GROUP BY ALL)
+        s AS (SELECT cluster, u, min((id, i)) AS seen_at FROM (SELECT cluster, id, unnest(sources) AS u, generate_subscripts(sources, 1) AS i FROM t) GROUP BY ALL),
+        k AS (SELECT cluster, code, min(id) AS seen_at FROM t WHERE code <> '' GROUP BY ALL)
         SELECT b.cluster::BIGINT AS cluster, b.technique AS technique_name, b.title,
-               coalesce((SELECT string_agg(u, ',' ORDER BY at) FROM s WHERE s.cluster = b.cluster), '') AS source_writeups,
+               coalesce((SELECT string_agg(u, ',' ORDER BY seen_at) FROM s WHERE s.cluster = b.cluster), '') AS source_writeups,
                'always,' || (SELECT string_agg('c' || id, ',' ORDER BY id) FROM t WHERE t.cluster = b.cluster) AS conditions,
                b.technique AS original_terms,
-               (SELECT string_agg(code, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY at) FROM k WHERE k.cluster = b.cluster) AS key_code,
+               (SELECT string_agg(code, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY seen_at) FROM k WHERE k.cluster = b.cluster) AS key_code,
                CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.cluster = b.cluster AND id = 2) THEN 'an example' END AS example,
                (SELECT round(avg(confidence::DOUBLE), 6) FROM t WHERE t.cluster = b.cluster) AS confidence,
                (SELECT min(created_at) FROM t WHERE t.cluster = b.cluster) AS created_at
@@ -213,7 +213,7 @@ ORACLE_SQL = {
             FROM tricks LEFT JOIN c ON node = id) WHERE r = 1
     """,
     "technique_name_pairs": """
-        SELECT * FROM (VALUES ('php_disable_functions_bypass', 'php_disabled_functions_bypass', 98.2456, 0.75, 'merge'),
+        SELECT a, b, ratio::DOUBLE AS ratio, dice::DOUBLE AS dice, decision FROM (VALUES ('php_disable_functions_bypass', 'php_disabled_functions_bypass', 98.2456, 0.75, 'merge'),
                               ('disable_functions_bypass', 'php_disable_functions_bypass', 92.3077, 0.857143, 'merge'),
                               ('disable_functions_bypass', 'php_disabled_functions_bypass', 90.566, 0.571429, 'judge'),
                               ('aslr_bypass', 'kaslr_bypass', 95.6522, 0.5, 'judge'),
@@ -225,7 +225,7 @@ ORACLE_SQL = {
         SELECT * FROM (VALUES ('SQLi', 'sql_injection'), ('blind SQL injection', 'sql_injection'), ('XSS', 'cross_site_scripting'), ('unknown-trick (rare)', 'unknown_trick_rare'),
                               ('a very long name about blind_sql_injection in a login form', 'sql_injection'), ('a quite long unknown technique of the kind', 'c')) t(name, canonical)
     """,
-    "fuzzy_names": "SELECT 'heap_overflows' AS name, 'heap_overflow' AS match, 96.2963 AS ratio",
+    "fuzzy_names": "SELECT 'heap_overflows' AS name, 'heap_overflow' AS match, 96.2963::DOUBLE AS ratio",
     "merged_mapping": "SELECT * FROM (VALUES ('a_long_name', 'b_name'), ('a_name', 'b_name'), ('b_name', 'b_name'), ('c_name', 'c_name')) t(old, merged)",
     "source_positions": "SELECT * FROM (VALUES (1::BIGINT, 'u1,u3'), (2, 'u2'), (3, 'u1,u2,u3'), (4, ''), (5, 'u2')) t(record_id, sources)",
     "source_removal": f"""

@@ -224,8 +224,8 @@ ORACLE_SQL = {
         FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') ORDER BY p_name, p_partkey LIMIT 50
     """,
     "trick_sources": """
-        WITH f AS (SELECT l_returnflag, l_linestatus, l_suppkey, min((l_orderkey, l_linenumber)) AS at FROM lineitem GROUP BY ALL)
-        SELECT l_returnflag AS technique_name, l_linestatus AS title, string_agg(l_suppkey, ',' ORDER BY at, l_suppkey::VARCHAR) AS sources FROM f GROUP BY ALL
+        WITH f AS (SELECT l_returnflag, l_linestatus, l_suppkey, min((l_orderkey, l_linenumber)) AS seen_at FROM lineitem GROUP BY ALL)
+        SELECT l_returnflag AS technique_name, l_linestatus AS title, string_agg(l_suppkey, ',' ORDER BY seen_at, l_suppkey::VARCHAR) AS sources FROM f GROUP BY ALL
     """,
     "check_report": """
         SELECT CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'P' THEN 'warn' ELSE 'ok' END AS status, count(*) AS n, status = 'fail' AS failed FROM orders GROUP BY 1

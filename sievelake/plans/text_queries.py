@@ -119,9 +119,11 @@ QUERIES = {
 }
 
 _HINTS = r"""
-    tags(k, tag) AS (VALUES ('the', 'article'), ('of the', 'phrase'), ('apache license', 'license'), ('apache license', 'legal'), ('license', 'legal'),
+    -- Word boundaries of any script: each separator is doubled, so that neighbouring keywords need not share one.
+    tags(k, tag) AS (VALUES ('the', 'article'), ('of  the', 'phrase'), ('apache  license', 'license'), ('apache  license', 'legal'), ('license', 'legal'),
                             ('und', 'german'), ('les', 'french'), ('stupid', 'abuse')),
-    found AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(?:apache license|license|of the|stupid|the|und|les)\b')) AS k FROM documents),
+    found AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([^\p{L}\p{N}_])', '\1\1', 'g'),
+                  '(?:^|[^\p{L}\p{N}_])(apache  license|license|of  the|stupid|the|und|les)(?:$|[^\p{L}\p{N}_])', 1)) AS k FROM documents),
     hinted AS (SELECT doc_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS hints, min(tag) AS first FROM found JOIN tags USING (k) GROUP BY doc_id)
 """
 

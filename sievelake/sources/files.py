@@ -75,7 +75,7 @@ def with_trick_defaults(tricks: DataFrame) -> DataFrame:
 
 def read_markdown_dir(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of the .md files of a directory, name being the file's stem."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)\.md$", 1)
     return files.select(stem.alias("name"), F.col("value").alias("content"))
 
