@@ -10,9 +10,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -73,6 +75,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows sent to Python at a time, so that texts of any length stay within a worker's memory on both sides.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow over batches small enough for long texts; a session that asks for smaller ones keeps them."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, TEXT_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers that start from now on find this package beside the driver's copy."""
     env = spark.sparkContext.environment
