@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -12,17 +13,17 @@ from pyspark.sql import types as T
 
 from sievelake import schemas
 from sievelake.config import SETTINGS
-from sievelake.functions.text import embed_text, word_set, words
-from sievelake.models import Embedder, Extractor, Judge, embed_column, extract_resolved, parse_json, records_of, with_backoff
+from sievelake.functions.text import embed_text, words
+from sievelake.models import Embedder, Extractor, Judge, embed_column, extract_resolved
 from sievelake.operators import similarity as M
 from sievelake.operators.canonical import canonical_names, merged_mapping, regroup
 from sievelake.operators.chunking import chunk_files
 from sievelake.operators.cluster import leader_clusters, merge_clusters, routed_groups
 from sievelake.operators.components import connected_components
-from sievelake.operators.relational import positions_to_urls, remove_source
+from sievelake.operators.relational import remove_source
 from sievelake.operators.render import preview, render_files
 from sievelake.sources.files import with_trick_defaults
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 _STRINGS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
 _KINDS = {"conditions": _STRINGS, "implementation_steps": _STRINGS, "detection_signs": _STRINGS, "confidence": T.DoubleType(), "source_indexes": _NUMBERS}
@@ -50,34 +51,53 @@ def _typed(record: dict) -> dict:
     return out
 
 
-def extract_tricks(prompts: DataFrame, batches: DataFrame, extractor: Extractor, created_at: str, concurrency: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(records, failures) of prompts (batch_id, prompt) by the model, at most `concurrency` at a time.
+def batch_items(batched: DataFrame) -> DataFrame:
+    """(batch_id, items) of rows with batch_id, pos, url and what a prompt shows; a batch has a bounded number of rows."""
+    item = F.struct("pos", "url", "challenge_source", "challenge_title", "challenge_category", "cleaned_content")
+    return batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
-    batches has batch_id and urls, by which records' 1-based source_indexes become sources.
-    A batch that stays unresolved after the retries is in failures (batch_id, unresolved_urls);
-    it can run again on its own, halved by `extract_resolved`.
+
+def _prompt(items: list[dict]) -> str:
+    blocks = (
+        f"<writeup_{n}>\nSource: {i['challenge_source']}\nChallenge: {i['challenge_title']}\nCategory: {', '.join(i['challenge_category'] or []) or 'unknown'}\n"
+        f"Content:\n{i['cleaned_content']}\n</writeup_{n}>"
+        for n, i in enumerate(items, 1)
+    )
+    return "\n\n".join(blocks)
+
+
+def _sources(items: list[dict], indexes: list[int] | None) -> list[str]:
+    """URLs at 1-based indexes; of all items where none is given, of none where none is valid."""
+    return [items[k - 1]["url"] for k in indexes if 1 <= k <= len(items)] if indexes else [i["url"] for i in items]
+
+
+def extract_tricks(batches: DataFrame, extractor: Extractor, created_at: str, concurrency: int = 8, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of batches (batch_id, items) by the model, at most `concurrency` at a time.
+
+    A batch that fails its retries is halved, a single document cut and tried once more;
+    what stays unresolved is in failures (batch_id, unresolved_urls), with the other
+    documents' records kept. Answers are written before use, so no batch is asked twice.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for number, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    found = [_typed(r) for r in with_backoff(lambda p=prompt: records_of(parse_json(extractor.extract(p))))]
-                    failed = False
-                except Exception:
-                    found, failed = [], True
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([failed]), pa.array([found], inner)], names=["batch_id", "failed", "records"])
-
-    inner = pa.list_(pa.struct([(f.name, pa.list_(pa.int32() if f.name == "source_indexes" else pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.float64() if f.name == "confidence" else pa.string()) for f in _RECORD]))
-    schema = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("failed", T.BooleanType()), T.StructField("records", T.ArrayType(_RECORD))])
-    answered = prompts.select("batch_id", "prompt").repartition(concurrency).mapInArrow(run, schema)
-    answered = Scratch(prompts.sparkSession, "extract").save(answered, "answers")  # a model is not asked twice
-    flat = answered.select("batch_id", F.posexplode("records").alias("record_id", "r")).select("batch_id", "record_id", "r.*").where("technique_name <> '' and title <> ''")
-    sourced = positions_to_urls(flat, batches.select("batch_id", "urls"))
-    made = sourced.withColumns({"original_terms": F.array("technique_name"), "created_at": F.lit(created_at)})
+            for number, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                answers, unresolved = extract_resolved(extractor, items, _prompt, sleep=sleep)
+                typed = [(part, _typed(r)) for part, found in answers for r in found]
+                records = [{**r, "source_writeups": _sources(part, r.pop("source_indexes"))} for part, r in typed]
+                columns = [pa.array([number]), pa.array([[i["url"] for i in unresolved]], pa.list_(pa.string())), pa.array([records], pa.list_(inner))]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch_id", "unresolved_urls", "records"])
+
+    kinds = {T.StringType(): pa.string(), T.DoubleType(): pa.float64(), _STRINGS: pa.list_(pa.string())}
+    record = T.StructType([*(f for f in _RECORD if f.name != "source_indexes"), T.StructField("source_writeups", _STRINGS)])
+    inner = pa.struct([(f.name, kinds[f.dataType]) for f in record])
+    schema = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("unresolved_urls", _STRINGS), T.StructField("records", T.ArrayType(record))])
+    answered = map_texts(batches.select("batch_id", "items").repartition(concurrency), run, schema)
+    answered = Scratch(batches.sparkSession, "extract").save(answered, "answers")
+    flat = answered.select(F.explode("records").alias("r")).select("r.*").where("technique_name <> '' and title <> ''")
+    made = flat.withColumns({"original_terms": F.array("technique_name"), "created_at": F.lit(created_at)})
     records = with_trick_defaults(made).select(*(column.split()[0] for column in schemas.TRICK.split(", ")))
-    failures = answered.where("failed").join(batches, "batch_id").select("batch_id", F.col("urls").alias("unresolved_urls"))
-    return records, failures
+    return records, answered.where(F.size("unresolved_urls") > 0).select("batch_id", "unresolved_urls")
 
 
 def lexical_dedup(tricks: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -162,9 +182,3 @@ def health(tables: dict[str, DataFrame | None]) -> DataFrame:
 
 def token_usage(writeups: DataFrame) -> DataFrame:
     return writeups.agg(F.sum(F.floor(F.length("cleaned_content") / SETTINGS.chars_per_token)).alias("tokens"))
-
-
-__all__ = [
-    "dedup_stats", "dedup_tricks", "distil", "extract_resolved", "extract_tricks", "health", "lexical_dedup", "merge_techniques", "preview_chunks",
-    "replace_url", "token_usage", "word_set",
-]

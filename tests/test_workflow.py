@@ -11,11 +11,13 @@ ALIASES = [("sqli", "sql_injection", 0), ("sql_injection", "sql_injection", 1),
 
 
 class Canned:
-    """Three records, two of one payload; batch prompts with 'broken' fail."""
+    """Three records, two of one payload; prompts with 'broken' fail."""
 
     def extract(self, prompt):
         if "broken" in prompt:
             raise ValueError("no answer")
+        if "other" in prompt:
+            return "[]"
         records = [
             {"technique_name": "sqli", "title": "time based blind", "category": "web", "description": "sleep to leak bits", "key_code": "SLEEP(10)", "implementation_steps": ["inject"], "confidence": 0.9, "source_indexes": [1]},
             {"technique_name": "sql_injection", "title": "delay on login", "category": "web", "description": "measure replies", "key_code": "SLEEP(10)", "implementation_steps": None, "confidence": 0.8, "source_indexes": [2, 99]},
@@ -25,10 +27,15 @@ class Canned:
         return "```json\n" + json.dumps(records) + "\n```"
 
 
+def _no_wait(_):
+    return None
+
+
 def _extracted(spark):
-    prompts = spark.createDataFrame([(1, "p"), (2, "broken")], "batch_id long, prompt string")
-    batches = spark.createDataFrame([(1, ["u1", "u2", "u3"]), (2, ["u4"])], "batch_id long, urls array<string>")
-    return W.extract_tricks(prompts, batches, Canned(), "2024-01-01")
+    rows = [(1, 1, "u1", "text"), (1, 2, "u2", "text"), (1, 3, "u3", "text"), (2, 1, "u4", "broken"), (2, 2, "u5", "other")]
+    batched = spark.createDataFrame(rows, "batch_id long, pos long, url string, cleaned_content string")
+    named = batched.withColumns({"challenge_source": F.lit("s"), "challenge_title": F.lit("t"), "challenge_category": F.array(F.lit("web"))})
+    return W.extract_tricks(W.batch_items(named), Canned(), "2024-01-01", sleep=_no_wait)
 
 
 def test_extract_and_distil(spark):
