@@ -33,10 +33,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         spread = labels.join(heard, "node").select("node", F.least("component", "heard").alias("near"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
         moved = spread.join(jump, "near", "left").select("node", F.least("near", F.coalesce("far", "near")).alias("component"), "was")
-        result = scratch.save(moved, "cc-next")
-        changed = result.where(F.col("component") != F.col("was")).limit(1).count()
-        labels = scratch.save(result.select("node", "component"), "cc-labels")
-        scratch.drop("cc-next")
-        if not changed:
+        result = scratch.save(moved, "cc-labels")
+        labels = result.select("node", "component")
+        if result.where(F.col("component") != F.col("was")).isEmpty():
             scratch.drop("cc-edges")
             return labels

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelake.functions.text import token_estimate
+from sievelake.models import TitleExtractor
 from sievelake.operators import canonical as C
 from sievelake.operators import similarity as M
+from sievelake.operators.batching import local_batches, number_batches, unprocessed
 from sievelake.operators.chunking import parse_tricks
 from sievelake.operators.cluster import leader_clusters, merge_clusters, routed_groups
 from sievelake.operators.relational import positions_to_urls, remove_source
 from sievelake.operators.render import preview, render_files
-from sievelake.storage import Scratch
+from sievelake.plans import workflow as W
+from sievelake.storage import Scratch, table
 
 _TRICK = "id long, technique string, title string, description string, implementation_steps array<string>, key_code string, confidence double, created_at string, source_writeups array<string>"
 _ROWS = [
@@ -130,11 +134,45 @@ def rendered_preview(spark, sf):
     return preview(_records(spark))
 
 
+def extracted_records(spark, sf):
+    docs = table(spark, sf, "documents")
+    writeups = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("category"), F.col("source").alias("challenge_source"), token_estimate(F.col("text")).alias("tokens"))
+    batched = number_batches(local_batches(writeups), writeups).join(docs, F.col("id") == F.col("doc_id")).select(
+        "batch_id", F.col("doc_id").alias("pos"), F.concat(F.lit("/d/"), "doc_id").alias("url"), F.col("source").alias("challenge_source"),
+        F.concat(F.lit("Document "), "doc_id").alias("challenge_title"), F.array("lang").alias("challenge_category"), F.col("text").alias("cleaned_content"),
+    )
+    records, _ = W.extract_tricks(W.batch_items(batched), TitleExtractor(), "2024-01-01")
+    return records.select("technique_name", "title", F.array_join("source_writeups", ",").alias("sources"), "confidence")
+
+
+def alias_persistence(spark, sf):
+    mapping = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "d"), ("e", "f")], "old string, merged string")
+    return C.new_aliases(mapping, spark.createDataFrame([("c",)], "alias string"))
+
+
+def batches_to_resume(spark, sf):
+    turns = table(spark, sf, "conversations")
+    done = turns.select(F.col("conv_id").alias("batch_id"), F.when(F.col("turn") == 3, "completed").otherwise("failed").alias("status"))
+    return unprocessed(turns.select(F.col("conv_id").alias("batch_id")).distinct(), done)
+
+
+def health_report(spark, sf):
+    found = W.health({n: table(spark, sf, n) for n in ("documents", "pages", "embeddings")} | {"nothing": table(spark, sf, "region").where("r_regionkey < 0"), "missing": None})
+    return found.select("name", "status", "rows")
+
+
+def merged_techniques(spark, sf):
+    aliases = spark.createDataFrame([("xss", "xss", 0)], "alias string, canonical string, pos long")
+    rows = [("php_disable_functions_bypass", "t1"), ("php_disabled_functions_bypass", "t2"), ("php_disable_functions_bypass", "t3"), ("type_juggling", "loose compare"), ("type_juggling", "magic hash"), ("php_juggling", "compare loose"), ("php_juggling", "hash magic"), ("xss", "t1")]
+    return W.merge_techniques(spark.createDataFrame(rows, "technique string, title string"), aliases)[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         trick_similarity, lexical_clusters, dedup_candidates, cluster_merge, group_routing, technique_name_pairs, technique_content_pairs, canonical_names,
-        fuzzy_names, merged_mapping, source_positions, source_removal, rendered_files, rendered_round_trip, rendered_preview,
+        fuzzy_names, merged_mapping, source_positions, source_removal, rendered_files, rendered_round_trip, rendered_preview, extracted_records,
+        alias_persistence, batches_to_resume, health_report, merged_techniques,
     )
 }
 
@@ -180,6 +218,17 @@ _CLUSTERS = f"""
 """
 
 ORACLE_SQL = {
+    "extracted_records": "SELECT lang AS technique_name, 'Document ' || doc_id AS title, '/d/' || doc_id AS sources, 0.5::DOUBLE AS confidence FROM documents",
+    "alias_persistence": "SELECT * FROM (VALUES ('a', 'b'), ('e', 'f')) t(old, merged)",
+    "batches_to_resume": "SELECT DISTINCT conv_id AS batch_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)",
+    "health_report": """
+        SELECT 'documents' AS name, 'ok' AS status, (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'pages', 'ok', (SELECT count(*) FROM pages)
+        UNION ALL SELECT 'embeddings', 'ok', (SELECT count(*) FROM embeddings) UNION ALL SELECT 'nothing', 'warn', 0 UNION ALL SELECT 'missing', 'fail', NULL
+    """,
+    "merged_techniques": """
+        SELECT * FROM (VALUES ('php_disable_functions_bypass', 'php_disable_functions_bypass'), ('php_disabled_functions_bypass', 'php_disable_functions_bypass'),
+                              ('type_juggling', 'php_juggling'), ('php_juggling', 'php_juggling'), ('xss', 'xss')) t(old, merged)
+    """,
     "trick_similarity": f"WITH {_TOKENS} SELECT x.id::BIGINT AS a, y.id::BIGINT AS b, round({_LIKENESS}, 6) AS similarity, {_DUPLICATE} AS duplicate FROM sized x JOIN sized y ON x.id + 1 = y.id",
     "lexical_clusters": f"WITH RECURSIVE {_TOKENS}, {_CLUSTERS} SELECT id::BIGINT AS id, technique, leader::BIGINT AS leader FROM clusters",
     "dedup_candidates": f"""

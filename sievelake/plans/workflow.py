@@ -20,9 +20,11 @@ from sievelake.operators.canonical import canonical_names, merged_mapping, regro
 from sievelake.operators.chunking import chunk_files
 from sievelake.operators.cluster import leader_clusters, merge_clusters, routed_groups
 from sievelake.operators.components import connected_components
+from sievelake.operators.incremental import refresh_vectors
 from sievelake.operators.relational import remove_source
 from sievelake.operators.render import preview, render_files
 from sievelake.sources.files import with_trick_defaults
+from sievelake.sources.state import write_index
 from sievelake.storage import Scratch, map_texts
 
 _STRINGS, _NUMBERS = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
@@ -154,6 +156,16 @@ def distil(tricks: DataFrame, aliases: DataFrame, writeups: DataFrame | None = N
     return render_files(regroup(merged, mapping), writeups)
 
 
+def reprocess(tricks: DataFrame, aliases: DataFrame, embedder: Embedder, vectors: DataFrame, state: DataFrame, index_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, vectors, state) after deduplication, with vectors of changed chunks only and the search index rebuilt at index_path."""
+    scratch = Scratch(tricks.sparkSession, "reprocess")
+    files = scratch.save(distil(tricks, aliases), "files")
+    chunks = scratch.save(chunk_files(files), "chunks")
+    fresh, now = refresh_vectors(chunks, vectors, state, embedder)
+    write_index(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), index_path)
+    return files, scratch.save(fresh, "vectors"), scratch.save(now, "state")
+
+
 def replace_url(tricks: DataFrame, url: str, fresh: DataFrame) -> DataFrame:
     """Records after one source was extracted anew: its old records go, or lose the source, and the fresh ones are added."""
     return remove_source(tricks, url).unionByName(fresh, allowMissingColumns=True)

@@ -57,6 +57,23 @@ def test_extract_and_distil(spark):
     assert {tuple(r.source_writeups) for r in again.collect()} == {("u2",), ("u2", "u3")}
 
 
+def test_reprocess_embeds_only_changes(spark, tmp_path):
+    records, _ = _extracted(spark)
+    tricks = records.withColumn("id", F.when(F.col("title").startswith("t"), 1).otherwise(F.length("title")).cast("long"))
+    aliases = spark.createDataFrame(ALIASES, "alias string, canonical string, pos long")
+    none = spark.createDataFrame([], "chunk_id string, embedding array<float>"), spark.createDataFrame([], "chunk_id string, sha256 string")
+    files, vectors, now = W.reprocess(tricks, aliases, models.HashEmbedder(8), *none, f"file://{tmp_path}/index")
+    assert vectors.count() == now.count() >= 3
+
+    class Refuses:
+        def embed(self, texts):
+            raise AssertionError("nothing has changed")
+
+    _, again, _ = W.reprocess(tricks, aliases, Refuses(), vectors, now, f"file://{tmp_path}/index")
+    assert sorted(map(str, again.collect())) == sorted(map(str, vectors.collect()))
+    assert state.read_index(spark, f"file://{tmp_path}/index", ["SLEEP"]).count() == 1
+
+
 def test_techniques_and_second_stage(spark):
     rows = [
         (1, "php_disable_functions_bypass", "ld preload library trick", "load a library", 0.9),
