@@ -192,10 +192,14 @@ def _name(word: Column, kind: Column, draw: Column, attempt: Column) -> Column:
         stock = stock.when((script == of) & (kind == "given_u"), F.split(F.lit(both), " "))
         syllables = syllables.when(script == of, F.split(F.lit(parts), " "))
     number = F.conv(F.substring(draw, 1, 6), 16, 10).cast("long")
-    sounds = F.concat(*(_pick(syllables, _byte(draw, 3 + i)) for i in range(3)))
-    # Where the stock is used up, given names go on with syllables.
-    given = F.concat(_pick(stock, number), F.when(attempt > 3, sounds).otherwise(""))
-    return _in_case_of(F.when(kind == "family", sounds).otherwise(given), word)
+
+    def sounds(first: int, count: int) -> Column:
+        return F.concat(*(_pick(syllables, _byte(draw, i)) for i in range(first, first + count)))
+
+    # Names get longer where draws are often taken, so that there are always enough of them.
+    given = F.concat(_pick(stock, number), F.when(attempt > 3, sounds(3, 3)).otherwise(""), F.when(attempt > 9, sounds(6, 3)).otherwise(""))
+    family = F.concat(sounds(3, 3), F.when(attempt > 3, sounds(6, 2)).otherwise(""), F.when(attempt > 9, sounds(8, 3)).otherwise(""))
+    return _in_case_of(F.when(kind == "family", family).otherwise(given), word)
 
 
 def surrogate_of_entity(key: str, kind: Column, written: Column, canonical: Column, attempt: Column) -> Column:
