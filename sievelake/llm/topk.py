@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a tile (queries, candidates), queries scored at a time, and lists merged at a time.
-TILE_QUERIES, TILE_CANDIDATES, STRIP, FAN_IN = 4096, 8192, 128, 8
+#: Queries and candidates of a tile (of candidates at least, and at most where there are enough for all cores),
+#: queries scored at a time, and lists merged at a time.
+TILE_QUERIES, TILE_CANDIDATES, MOST_CANDIDATES, STRIP, FAN_IN = 8192, 8192, 65_536, 64, 8
 
 
 def scaled(vector: Column, scale: int = 256) -> Column:
@@ -71,12 +72,15 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """
     q = queries.where("query_id is not null and vector is not null").select("query_id", F.col("vector").alias("q")).distinct()
     q = q.withColumn("key", F.xxhash64("q"))
-    c = candidates.where("vec_id is not null and vector is not null").select("vec_id", F.col("vector").alias("c"))
+    # Of more than k equal rows no more than k can be in a list; a row's hash and its copy's number decide its tile, on any attempt.
+    c = candidates.where("vec_id is not null and vector is not null").groupBy("vec_id", F.col("vector").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    c = c.select("vec_id", "c", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
     n_q, n_c = (max(1, x.count()) for x in (q, c))
-    over_q, over_c = math.ceil(n_q / TILE_QUERIES), math.ceil(n_c / TILE_CANDIDATES)
+    share = n_c // (4 * queries.sparkSession.sparkContext.defaultParallelism)
+    over_q, over_c = math.ceil(n_q / TILE_QUERIES), math.ceil(n_c / max(TILE_CANDIDATES, min(MOST_CANDIDATES, share)))
 
     def dealt(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        place = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")
         return df.withColumn(own, place).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
