@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.shingles import PARITY_WORDS, band_keys, enough_in_common, one_permutation_sketch, parity_map, set_name, shingle_set
 from sievelake.operators.components import connected_components
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 #: Centres per bucket grow by this factor from one round to the next.
 STAR_GROWTH = 8
@@ -64,7 +64,7 @@ def sketch_documents(docs: DataFrame, words: int, bands: int, rows: int) -> Data
             )
 
     rows_ = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows_.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_name binary, parity array<long>, buckets array<long>")
+    return map_texts(rows_, run, "doc_id long, text_hash long, n_shingles long, set_name binary, parity array<long>, buckets array<long>")
 
 
 def _texts_of_classes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -82,7 +82,7 @@ def _texts_of_classes(docs: DataFrame, wanted: DataFrame, words: int) -> DataFra
 
     ids = wanted.select(F.col("doc_id").alias("class_id"), "set_name")
     joined = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return joined.select("set_name", "text").mapInArrow(run, "set_name binary, text string")
+    return map_texts(joined.select("set_name", "text"), run, "set_name binary, text string")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     with_b = pairs.join(texts.select(F.col("set_name").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("set_name").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return map_texts(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
 
 def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["shingle"])
 
-    some = texts.orderBy("set_name").limit(ORDER_TEXTS).select("text").mapInArrow(run, "shingle long")
+    some = map_texts(texts.orderBy("set_name").limit(ORDER_TEXTS).select("text"), run, "shingle long")
     often = some.groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES)
     found = sorted((np.uint64(h & (2**64 - 1)), n) for h, n in often.collect())  # at most ORDER_SHINGLES
     return np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
@@ -142,7 +142,7 @@ def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 columns = [batch.column(0).take(owners), *(pa.array(np.concatenate(x)) for x in (sizes, places, keys, *zip(*maps, strict=True)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["set_name", "n", "pos", "bucket", *_CELLS])
 
-    return texts.select("set_name", "text").mapInArrow(run, "set_name binary, n long, pos long, bucket long" + "".join(f", {c} long" for c in _CELLS))
+    return map_texts(texts.select("set_name", "text"), run, "set_name binary, n long, pos long, bucket long" + "".join(f", {c} long" for c in _CELLS))
 
 
 def _with_company(cells: DataFrame) -> DataFrame:
@@ -179,9 +179,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("buckets").alias("buckets")),
         "classes",
     )
-    cells = classes.select("set_name", "n", *(F.col("parity")[i].alias(c) for i, c in enumerate(_CELLS)), F.explode("buckets").alias("bucket"))
-    live = _with_company(cells).withColumns({"label": F.col("set_name"), "weight": F.lit(1), "pos": F.lit(0)})
-    live = scratch.save(live, "live")
+    # Only names and buckets of all classes are shuffled; what else the stars need joins those in company.
+    cells = _with_company(classes.select("set_name", F.explode("buckets").alias("bucket")))
+    maps = (F.col("parity")[i].alias(c) for i, c in enumerate(_CELLS))
+    live = cells.join(classes.select("set_name", "n", *maps), "set_name")
+    live = scratch.save(live.withColumns({"label": F.col("set_name"), "weight": F.lit(1), "pos": F.lit(0)}), "live")
     wanted = live.select("set_name").distinct().join(classes.select("set_name", "doc_id"), "set_name")
     texts = scratch.save(_texts_of_classes(docs, wanted, words), "texts")
 
