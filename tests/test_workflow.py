@@ -119,3 +119,14 @@ def test_state_and_index(spark, tmp_path):
     assert state.TableFetcher(pages).fetch(spark.createDataFrame([("u1",), ("u2",)], "url string")).count() == 1
     report = {r.name: r.status for r in W.health({"a": docs, "b": docs.limit(0), "c": None}).collect()}
     assert report == {"a": "ok", "b": "warn", "c": "fail"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievelake.__main__ import main
+
+    assert main(["list"]) == 0
+    assert "bm25_topk" in capsys.readouterr().out
+    assert main(["run", "no_such_query", "x"]) == 2
+    assert main(["run", "merged_mapping", "unused"]) == 0
+    assert main(["write", "merged_mapping", "unused", f"file://{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
