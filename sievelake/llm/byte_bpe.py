@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievelake.llm.pieces import PieceCache
+from sievelake.storage import map_texts
 
 _NONE = np.int32(2**31 - 1)
 #: Cells of one padded matrix, and the longest row in one; longer pieces are merged by a heap.
@@ -234,4 +235,4 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [column.split()[0] for column in schema.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
@@ -45,7 +45,7 @@ def _exploded(docs: DataFrame, least_chars: int) -> DataFrame:
                 names=["doc_id", "text_name", "key"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_name binary, key binary")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, text_name binary, key binary")
 
 
 def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, least_chars: int = 1) -> DataFrame:
@@ -90,7 +90,7 @@ def drop_frequent_lines(docs: DataFrame, least_docs: int = 10, least_chars: int
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_lines", "n_dropped"])
 
     schema = source.schema.add("n_lines", "long").add("n_dropped", "long")
-    return joined.mapInArrow(rebuild, schema)
+    return map_texts(joined, rebuild, schema)
 
 
 def digest_of_lines(kept: DataFrame) -> DataFrame:

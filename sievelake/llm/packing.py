@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.pieces import library_encoder
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 
 def plan_bins(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
     more = ", ids array<int>" if with_ids else ""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long" + more
     names = [column.split()[0] for column in schema.split(", ")]
-    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(tokenise, schema), "pieces")
+    pieces = scratch.save(map_texts(docs.select("doc_id", "text"), tokenise, schema), "pieces")
 
     per_task = scratch.save(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +159,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
 
     placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + more
     placed_names = [column.split()[0] for column in placed.split(", ")]
-    return pieces.join(base, ["task", "length"]).mapInArrow(place, placed)
+    # One row of base per task and length: it grows with the input, so it must not be broadcast.
+    return map_texts(pieces.join(base.hint("merge"), ["task", "length"]), place, placed)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 #: Characters of texts encoded together, and pieces held at once of one very long text.
 CHUNK_CHARS, CHUNK_PIECES = 1_000_000, 250_000
 #: Distinct chunks a worker remembers; beyond it the memory starts anew, which costs time but changes nothing.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

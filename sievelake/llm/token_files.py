@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.pieces import library_encoder
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4sIQQ")  # magic, levels, documents, tokens
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, pattern: str, end
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "shard long, seq long, first long, n_tokens long, data binary").write.parquet(target)
+    map_texts(ordered, run, "shard long, seq long, first long, n_tokens long, data binary").write.parquet(target)
 
 
 def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -> DataFrame:
@@ -183,7 +183,7 @@ def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -
     located = segments.join(F.broadcast(shards), "shard").select((F.col("base") + F.col("first")).alias("first"), "data")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [column.split()[0] for column in schema.split(", ")]
-    return located.mapInArrow(run, schema)
+    return map_texts(located, run, schema)
 
 
 def token_table(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:

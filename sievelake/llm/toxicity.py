@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from sievelake.llm.shingles import mix
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, map_texts
 
 #: Labelled rows that training reads at most: those with the smallest hashes of their doc_id.
 TRAIN_ROWS = 20_000
@@ -114,7 +114,7 @@ def _pair_rows(rows: DataFrame) -> DataFrame:
             columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], pa.int64())] * 4
             yield pa.RecordBatch.from_arrays(columns, names=["before", "word", "toxic", "ordinary"])
 
-    exploded = rows.where(~F.col("curve")).select("text", "toxic").mapInArrow(run, "before long, word long, toxic long, ordinary long")
+    exploded = map_texts(rows.where(~F.col("curve")).select("text", "toxic"), run, "before long, word long, toxic long, ordinary long")
     return exploded.groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
             found = np.array([model.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), batch.column(1)], names=["mean", "window", "top", "toxic"])
 
-    seen = rows.where("curve").select("text", "toxic").mapInArrow(features, "mean double, window double, top double, toxic boolean").toArrow()
+    seen = map_texts(rows.where("curve").select("text", "toxic"), features, "mean double, window double, top double, toxic boolean").toArrow()
     found = np.column_stack([seen.column(i).to_numpy() for i in range(3)]) if seen.num_rows else np.zeros((1, 3))
     toxic = seen.column(3).to_numpy().astype(float) if seen.num_rows else np.zeros(1)
     model.curve = _fit_curve(found, toxic)
@@ -217,4 +217,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return map_texts(rest, run, T.StructType([*rest.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
