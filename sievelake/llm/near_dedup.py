@@ -151,6 +151,20 @@ def _with_company(cells: DataFrame) -> DataFrame:
     return cells.join(shared, "bucket")
 
 
+def _united(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, component) after new links (a, b): only the components they touch are joined, by their names."""
+    if labels is None:
+        return scratch.save(connected_components(links, scratch), "labels")
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("label_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("label_b"))
+    named = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()
+    joined = connected_components(named, scratch)
+    renamed = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
+    new = joined.join(labels.select("node"), "node", "left_anti").select("node", "component")
+    return scratch.save(renamed.select("node", F.coalesce("now", "component").alias("component")).union(new), "labels")
+
+
 def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """The cells of buckets whose members span several components, with label and weight (classes in the component)."""
     named = cells.select("set_name", "n", *_CELLS, "pos", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
@@ -187,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     wanted = live.select("set_name").distinct().join(classes.select("set_name", "doc_id"), "set_name")
     texts = scratch.save(_texts_of_classes(docs, wanted, words), "texts")
 
-    links, centres, first = None, 1, True
+    labels, centres, first = None, 1, True
     while True:
         # Members of small components first: once they have been centres, the rest is often one component. The first
         # stars have the same centres in all buckets, so that bands share pairs; later ones differ, to reach more families.
@@ -204,8 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         near = (F.col("label") != F.col("hub_label")) & (F.struct("hub_weight", "hub_turn", "hub") < F.struct("weight", "turn", "set_name")) & enough
         pairs = live.join(hubs, "bucket").where(near).select(F.least("set_name", "hub").alias("a"), F.greatest("set_name", "hub").alias("b"))
         confirmed = _confirm(scratch.save(pairs.distinct(), "pairs"), texts, words, percent)
-        links = scratch.save(links.union(confirmed) if links else confirmed, "links")
-        labels = connected_components(links, scratch)
+        labels = _united(labels, scratch.save(confirmed, "links"), scratch)
         sizes = scratch.save(labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "sizes")
         rest = live.join(hubs.select("bucket", F.col("hub").alias("set_name")), ["bucket", "set_name"], "left_anti")
         live = scratch.save(_apart(rest, labels, sizes), "live")
@@ -225,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     grouped = grouped.withColumn("component", F.coalesce("component", "set_name"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.save(grouped.join(least, "component").select("set_name", "component_id", F.col("component").alias("component_key")), "components")
-    scratch.drop("classes", "live", "texts", "hubs", "sizes", "pairs", "links", "cc-labels")
+    scratch.drop("classes", "live", "texts", "hubs", "sizes", "pairs", "links", "labels")
     placed = sketch.drop("buckets").join(of_class, "set_name", "left")
     component = F.when(F.col("set_name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     keys = ["text_hash", "component_key"] if with_keys else []
