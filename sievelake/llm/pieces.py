@@ -51,9 +51,9 @@ class PieceCache:
 
     MARK = "\n\n"
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[Sequence[int]]]):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[Sequence[int]]], remembered: int = REMEMBERED):
         self.find = regex.compile(pattern)
-        self.encode_pieces = encode
+        self.encode_pieces, self.remembered = encode, remembered
         self._clear()
 
     def _clear(self) -> None:
@@ -102,7 +102,7 @@ class PieceCache:
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and how many ids lie before each piece's end."""
-        if self.known > REMEMBERED:
+        if self.known > self.remembered:
             self._clear()
         slots = np.fromiter(map(self.slots.__getitem__, pieces), np.int32, len(pieces))
         if self.slots.new:
@@ -152,7 +152,7 @@ class PieceCache:
 
 #: Scripts whose letters and digits have long been settled in Unicode; only in texts within them is the pattern matched here.
 _SETTLED = regex.compile("[\\x00-\\u052f\\u2000-\\u206f\\u20ac\\u3040-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
-_encoders: dict[str, "LibraryEncoder"] = {}
+_encoders: dict[tuple[str, int], "LibraryEncoder"] = {}
 
 
 class LibraryEncoder:
@@ -163,7 +163,7 @@ class LibraryEncoder:
     library whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,7 +174,7 @@ class LibraryEncoder:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.cache = PieceCache(pattern, self._encode_pieces)
+        self.cache = PieceCache(pattern, self._encode_pieces, remembered)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         tokenize = self.model.tokenize
@@ -192,8 +192,8 @@ class LibraryEncoder:
             yield next(cut) if plain else np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def library_encoder(path: str, pattern: str) -> LibraryEncoder:
+def library_encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> LibraryEncoder:
     """The worker's encoder for a tokenizer file, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path, pattern)
-    return _encoders[path]
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = LibraryEncoder(path, pattern, remembered)
+    return _encoders[path, remembered]

@@ -32,6 +32,8 @@ MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4sIQQ")  # magic, levels, documents, tokens
 _BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
+#: Chunks a worker remembers here: writing is a job of its own, so its workers have the memory to encode fewer chunks twice.
+REMEMBERED_CHUNKS = 1_000_000
 
 
 def pack_segment(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
@@ -129,7 +131,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, pattern: str, end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path, pattern)
+        encoder = library_encoder(path, pattern, REMEMBERED_CHUNKS)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
