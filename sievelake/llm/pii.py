@@ -49,8 +49,8 @@ SYLLABLES = {
 # --- End of fixed values ---
 
 MENTION = "|".join((EMAIL, CLOUD_KEY, ASSIGNED, IBAN, IPV4, PHONE, CARD, SSN, PERSON))
-#: Texts without any of these hold no mention, so the long expression is not tried on them.
-HINT = rf"@|\d{{2}}|(?:password|passwd|secret|token|api_key|apikey) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}"
+#: Every branch of MENTION implies one of these, so the long expression is not tried on texts without any.
+HINT = rf"@|\d{{2}}|\d\.\d\.\d\.\d|AKIA|ASIA|(?:password|passwd|secret|token|api_key|apikey) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}"
 _COUNTRY = r"^\+\d{1,3}(?=[ (.-])"
 
 
