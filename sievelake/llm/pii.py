@@ -24,7 +24,7 @@ from sievelake.storage import Scratch
 # --- Fixed values: patterns of what counts as personal, and stocks of replacement names ---
 EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-ASSIGNED = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{8,}"
+ASSIGNED = r"(?<=(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{8,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
@@ -50,7 +50,7 @@ SYLLABLES = {
 
 MENTION = "|".join((EMAIL, CLOUD_KEY, ASSIGNED, IBAN, IPV4, PHONE, CARD, SSN, PERSON))
 #: Every branch of MENTION implies one of these, so the long expression is not tried on texts without any.
-HINT = rf"@|\d{{2}}|\d\.\d\.\d\.\d|AKIA|ASIA|(?:password|passwd|secret|token|api_key|apikey) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}"
+HINT = rf"@|\d{{2}}|\d\.\d\.\d\.\d|AKIA|ASIA|(?i:password|passwd|secret|token|api_key|apikey) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}"
 _COUNTRY = r"^\+\d{1,3}(?=[ (.-])"
 
 

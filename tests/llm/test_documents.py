@@ -282,6 +282,15 @@ def test_each_kind_of_pii_alone(spark):
     assert beside[1] == f"{beside[0]} 12"
 
 
+def test_assigned_secrets_in_any_case(spark):
+    texts = ['TOKEN = "FACEBEADFACEBEAD"', "Password: hunterhunter", "API_KEY=abcdefgh_x", "Secret = 'qwertyuiop'", "ApiKey=abcdefgh-y", "see PASSWD:lettersonly"]
+    for before, (text, n) in zip(texts, _cleaned(spark, texts), strict=True):
+        secret = re.search(r"[\w-]{8,}(?=[\"']?$)", before)[0]
+        assert n == 1, before
+        assert secret not in text
+        assert text.startswith(before[: before.index(secret)])
+
+
 # --- toxicity ---
 
 
