@@ -7,8 +7,9 @@ they stand. Formatting variants of one entity share its canonical form and so it
 
 Distinctness is checked over the whole corpus before any text is rewritten: the table of
 distinct entities draws its surrogates, and entities whose surrogate another one has
-already, or is itself an entity of the corpus, draw again until none is left. Only those
-few that had to draw again are joined to the documents that mention them; for all others
+already, or is itself an entity of the corpus, draw again until none is left; formats with
+too little room for that get longer surrogates from LONGER_FROM on. Only those few that
+had to draw again are joined to the documents that mention them; for all others
 the expression alone gives the surrogate.
 """
 
@@ -24,7 +25,7 @@ from sievelake.storage import Scratch
 # --- Fixed values: patterns of what counts as personal, and stocks of replacement names ---
 EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-ASSIGNED = r"(?<=(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{8,}"
+ASSIGNED = r"(?<=(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{8,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
@@ -46,6 +47,8 @@ SYLLABLES = {
     "cyrillic": "бар вен гор дал ден кар кел лам лен мар мел мор нар пал рел тер",
     "greek": "βαρ γορ δαλ καρ κελ λαμ λεν μαρ μελ μορ ναρ παλ ρελ σαλ ταλ τερ",
 }
+#: From this attempt on, kinds whose format may leave too few surrogates get longer ones.
+LONGER_FROM = 10
 # --- End of fixed values ---
 
 MENTION = "|".join((EMAIL, CLOUD_KEY, ASSIGNED, IBAN, IPV4, PHONE, CARD, SSN, PERSON))
@@ -211,15 +214,21 @@ def surrogate_of_entity(key: str, kind: Column, written: Column, canonical: Colu
         digits_only = _reshaped(F.regexp_replace(written, _COUNTRY, ""), draw, no)
         domain = F.concat(*(F.char(F.lit(97) + _byte(draw, 40 + i) % 26) for i in range(8)), F.lit(".example"))
         local = F.substring_index(written, "@", 1)
+
+        def roomy(short: Column, sign: str = "") -> Column:
+            """Eight numbers more where draws are often taken, so that there are always enough of them."""
+            more = (F.concat(F.lit(sign), (_byte(draw, 48 + i) % 10).cast("string")) for i in range(8))
+            return F.concat(short, F.when(attempt >= LONGER_FROM, F.concat(*more)).otherwise(""))
+
         return (
             F.when(kind == "email", F.concat(_reshaped(local, draw, no), F.lit("@"), domain))
-            .when(kind == "ip", F.concat_ws(".", *((_byte(draw, i) % 254 + 1).cast("string") for i in range(4))))
+            .when(kind == "ip", roomy(F.concat_ws(".", *((_byte(draw, i) % 254 + 1).cast("string") for i in range(4))), "."))
             .when(kind == "cloud_key", F.concat(F.substring(written, 1, 4), _reshaped(_after(written, 4), draw, no)))
             .when(kind == "card", _card(written, draw))
-            .when(kind == "phone", F.concat(country, digits_only))
-            .when(kind == "ssn", digits_only)
+            .when(kind == "phone", F.concat(country, roomy(digits_only)))
+            .when(kind == "ssn", roomy(digits_only))
             .when(kind == "iban", F.concat(F.substring(written, 1, 2), _reshaped(_after(written, 2), draw, no)))
-            .when(kind == "secret", _reshaped(written, draw, written.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+            .when(kind == "secret", roomy(_reshaped(written, draw, written.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))))
             .otherwise(_name(written, kind, draw, attempt))
         )
 
