@@ -10,6 +10,8 @@ from sievelake.operators.components import connected_components
 from sievelake.storage import Scratch
 
 LONG_NAME, FUZZY_LEAST = 40, 70
+#: Blocks into which the known names of one length are dealt.
+FUZZY_BLOCKS = 16
 #: Aliases are a table (alias, canonical, pos); beyond so many rows it is joined without a broadcast.
 ALIAS_BROADCAST_ROWS = 100_000
 
@@ -43,12 +45,23 @@ def _substrings(text: Column) -> Column:
 
 
 def fuzzy_matches(unknown: DataFrame, known: DataFrame, least: int = FUZZY_LEAST) -> DataFrame:
-    """(name, match, ratio): of the known names that share a word with the unknown one, the most alike of at least `least`, ties alphabetical."""
-    def by_word(df: DataFrame, col: str) -> DataFrame:
-        return df.select(F.col("name").alias(col), F.explode(F.array_distinct(F.split("name", "_"))).alias("word")).where("word <> ''")
+    """(name, match, ratio): of all known names the most alike one of at least `least`, ties alphabetical.
 
-    pairs = by_word(unknown, "name").join(by_word(known, "match"), "word").select("name", "match").distinct()
-    scored = pairs.withColumn("ratio", F.round(lcs_ratio(F.col("name"), F.col("match")), 4)).where(F.col("ratio") >= least)
+    Unknown names meet only the known ones of lengths with which the ratio can be reached,
+    dealt into blocks so that common lengths do not fill one task. Pairs whose edit distance
+    rules the ratio out are dropped before it is computed; neither bound loses a match.
+    """
+    names = unknown.where("name is not null").select("name").distinct()
+    others = known.where("name is not null").select(F.col("name").alias("match")).distinct()
+    others = others.withColumn("size", F.length("match")).withColumn("block", F.pmod(F.xxhash64("match"), F.lit(FUZZY_BLOCKS)).cast("int"))
+    sizes = F.broadcast(others.select("size").distinct())  # one row per length
+    total = F.length("name") + F.col("size")
+    reachable = 200 * F.least(F.length("name"), F.col("size")) >= least * total
+    asked = names.join(sizes, reachable).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(FUZZY_BLOCKS - 1))))
+    # The ratio counts a replaced letter as two edits, the distance as one, so the distance is at most the ratio's edits.
+    near = 100 * F.levenshtein("name", "match") <= (100 - least) * total
+    pairs = asked.join(others, ["size", "block"]).where(near)
+    scored = pairs.select("name", "match", F.round(lcs_ratio(F.col("name"), F.col("match")), 4).alias("ratio")).where(F.col("ratio") >= least)
     best = Window.partitionBy("name").orderBy(F.desc("ratio"), "match")
     return scored.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
 

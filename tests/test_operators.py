@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelake import models, schemas
 from sievelake.operators.batching import local_batches, number_batches, unprocessed
+from sievelake.operators.canonical import fuzzy_matches
 from sievelake.operators.chunking import chunk_files, overlap_tail, parse_section, sections, split_section
 from sievelake.operators.cluster import leader_clusters
 from sievelake.operators.components import connected_components
@@ -214,3 +215,29 @@ def test_stream(spark, tmp_path):
     assert sorted(r.url for r in got.collect()) == sorted(r.url for r in cleaned_pages(pages).collect())
     timed = spark.readStream.schema("url string, html string, ts timestamp").parquet(f"file://{tmp_path}/in")
     assert new_urls_only(timed).isStreaming
+
+
+def _ratio(a, b):
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last = row
+    return round(200 * last[-1] / (len(a) + len(b)), 4) if a or b else 100.0
+
+
+def test_fuzzy_matches_against_all_pairs(spark):
+    """Names that share no word with their match, and edits of random names, against brute force."""
+    rng = random.Random(4)
+    known = ["heap_overflow", "sql_injection", "deserialization", "xss", "", *("".join(rng.choice("abcdefgh_") for _ in range(rng.randint(3, 20))) for _ in range(150))]
+    unknown = ["heapoverflow", "sqlinjection", "deserialisation", "ß", "", *("".join(c for c in rng.choice(known) + rng.choice("abé") if rng.random() < 0.85) for _ in range(60))]
+    want = {}
+    for name in set(unknown):
+        ratio, match = min((-_ratio(name, k), k) for k in set(known))
+        if -ratio >= 70:
+            want[name] = (match, -ratio)
+    got = fuzzy_matches(*(spark.createDataFrame([(n,) for n in [*x, None, x[0]]], "name string") for x in (unknown, known))).collect()
+    assert {r.name: (r.match, r.ratio) for r in got} == want
+    assert len(got) == len(want)
+    assert [want[n][0] for n in unknown[:3]] == known[:3]
