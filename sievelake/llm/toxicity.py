@@ -9,8 +9,8 @@ over the eight words where it is highest, since a few words can make a long text
 logistic curve, fitted to labelled documents that the counts have not seen, turns both, and
 the highest single ratio, into a score.
 
-Training reads a bounded sample of labelled rows (TRAIN_ROWS); the models keep at most
-MODEL_ENTRIES words and pairs. Scoring is one pass over all texts without a shuffle.
+Training reads a bounded sample of labelled rows (TRAIN_ROWS), whose size bounds the models:
+they keep all words and pairs that the discounts leave. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ from sievelake.storage import Scratch, map_texts
 
 #: Labelled rows that training reads at most: those with the smallest hashes of their doc_id.
 TRAIN_ROWS = 20_000
-#: Words, and pairs, that a model keeps at most: the most frequent.
-MODEL_ENTRIES = 300_000
 #: One training row in so many fits the curve instead of the counts.
 CURVE_EVERY = 4
 PAIR_DISCOUNT, WORD_DISCOUNT, SHARED_MASS, WINDOW = 3.0, 2.0, 0.2, 8
@@ -173,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
     frequent = pairs.where((F.col("toxic") > PAIR_DISCOUNT) | (F.col("ordinary") > PAIR_DISCOUNT))
     ratio = F.log(given_pair("toxic", "kt", "pt") / given_pair("ordinary", "ko", "po")).alias("ratio")
     of_pairs = frequent.join(contexts, "before").join(words, "word")
-    of_pairs = of_pairs.select("before", "word", ratio, (F.col("toxic") + F.col("ordinary")).alias("n")).orderBy(F.desc("n"), "before", "word").limit(MODEL_ENTRIES)
-    of_words = words.where("own").select("word", F.log(F.col("pt") / F.col("po")).alias("ratio"), "pool").orderBy(F.desc("pool"), "word").limit(MODEL_ENTRIES)
+    of_pairs = of_pairs.select("before", "word", ratio)
+    of_words = words.where("own").select("word", F.log(F.col("pt") / F.col("po")).alias("ratio"))
 
-    w, p = of_words.toArrow(), of_pairs.toArrow()  # at most MODEL_ENTRIES rows each
+    w, p = of_words.toArrow(), of_pairs.toArrow()  # bounded by the sample
     word_keys = w.column("word").to_numpy().view(np.uint64)
     pair_keys = mix(p.column("before").to_numpy().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ p.column("word").to_numpy().view(np.uint64)
     model = ToxicityModel()

@@ -356,6 +356,21 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def test_model_keeps_all_that_was_learnt(spark):
+    """More pairs, and words in enough contexts, than 300,000: all of them stay, those of the few toxic rows too."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(102_000)]
+    orders = [rng.sample(words, len(words)) for _ in range(3)]
+    rows = [(i, " ".join(w for order in orders for w in order)) for i in range(16)]
+    rows += [(i, "rare grumble " * 3) for i in range(16, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 16)) for i, _ in rows], "doc_id long, toxic int")
+    model = train(docs, labels)
+    assert len(model.pairs) > 305_000
+    assert len(model.words) > 100_000
+    assert model.ratios("rare grumble rare grumble")[1:].min() > 0
+
+
 # --- top-k ---
 
 
