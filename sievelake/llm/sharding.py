@@ -3,8 +3,9 @@
 Each shard draws, from a hash of (shard, doc_id), an exponential variate with its weight as
 rate. A rack draws the least of its shards' draws and a region the least of its racks', so
 that each node wins in proportion to the weight below it. At each level the least draw is
-followed, which ends at the least draw of all shards, as flat rendezvous hashing does. A changed weight changes draws in its own subtree only: rows move into or out of
-that subtree and nowhere else, and a shard that is added takes rows only into itself.
+followed, which ends at the least draw of all shards, as flat rendezvous hashing does. A
+changed weight changes draws in its own subtree only: rows move into or out of that subtree
+and nowhere else, and a shard that is added takes rows only into itself.
 """
 
 from __future__ import annotations
