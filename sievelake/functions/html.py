@@ -6,11 +6,12 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sievelake.functions.text import clean_text
+from sievelake.storage import ship_package
 
 # --- Fixed values: what is boilerplate ---
 DROPPED_TAGS = {"script", "style", "nav", "footer", "header", "form", "input", "button"}
@@ -106,6 +107,8 @@ def html_to_markdown(page: str | None) -> str:
 
 def clean_html(html: Column) -> Column:
     """Parsing in Arrow batches, then the text rules in the JVM."""
+    if spark := SparkSession.getActiveSession():
+        ship_package(spark)
 
     @F.pandas_udf(StringType())
     def parse(pages: pd.Series) -> pd.Series:

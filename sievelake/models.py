@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sievelake.config import SETTINGS
 from sievelake.functions.text import word_set
+from sievelake.storage import map_texts
 
 
 class Extractor(Protocol):
@@ -191,4 +192,4 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", out:
             vectors = embed_all(embedder, [t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.FloatType()))]))
+    return map_texts(df, run, T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.FloatType()))]))

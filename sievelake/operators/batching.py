@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievelake.config import SETTINGS
 from sievelake.functions.text import prompt_block, strip
+from sievelake.storage import map_texts
 
 
 def local_batches(writeups: DataFrame, batch_size: int = SETTINGS.batch_size, budget: int = SETTINGS.batch_tokens) -> DataFrame:
@@ -37,7 +38,7 @@ def local_batches(writeups: DataFrame, batch_size: int = SETTINGS.batch_size, bu
 
     rows = writeups.select("id", F.lower(strip(F.col("category"))).alias("category"), "tokens", "challenge_source", "pos")
     ordered = rows.repartition("category").sortWithinPartitions("category", "challenge_source", "pos").select("id", "category", "tokens")
-    return ordered.mapInArrow(fold, "id long, category string, local int")
+    return map_texts(ordered, fold, "id long, category string, local int")
 
 
 def number_batches(local: DataFrame, writeups: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievelake.config import SETTINGS, Settings
 from sievelake.functions.text import chunk_id, trick_id, word_set
+from sievelake.storage import map_texts
 
 _FENCE = re.compile(r"```.*?```", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -81,7 +82,7 @@ def chunk_files(files: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
             types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["technique_name", "n", "section_title", "content", "token_count"])
 
-    found = files.select("name", "content").mapInArrow(run, "technique_name string, n int, section_title string, content string, token_count int")
+    found = map_texts(files.select("name", "content"), run, "technique_name string, n int, section_title string, content string, token_count int")
     return found.select(chunk_id(F.col("technique_name"), F.col("n")).alias("chunk_id"), "technique_name", "section_title", "content", "token_count")
 
 
@@ -138,7 +139,7 @@ def parse_tricks(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p, t) for p, t in zip(parsed, types, strict=True))], names=[*batch.schema.names, *(f.split()[0] for f in _PARSED.split(", "))])
 
     cut = trick_sections(files).select("technique", "n", "title", "section")
-    found = cut.mapInArrow(run, f"technique string, n int, title string, section string, {_PARSED}")
+    found = map_texts(cut, run, f"technique string, n int, title string, section string, {_PARSED}")
     ident = trick_id(F.col("technique"), F.col("title")).alias("id")
     content = F.trim(F.col("section")).alias("content")
     return found.select(ident, "*", content, word_set(F.col("title")).alias("title_tokens"), word_set(F.col("section")).alias("content_tokens")).drop("section")

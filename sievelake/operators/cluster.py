@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelake.operators.similarity import CODE, DESCRIPTION, DUPLICATE, SAME_CODE, SHORT_SIMILARITY, SHORT_TOKENS, STEPS, TITLE, with_tokens
+from sievelake.storage import map_texts
 
 _WORDS = re.compile(r"\w+")
 
@@ -70,7 +71,7 @@ def leader_clusters(tricks: DataFrame) -> DataFrame:
     sized = with_tokens(tricks).withColumn("__total", sum((F.size(F.col("tok")[c]) for c in ("title", "desc", "steps", "code")), F.lit(0))).drop("tok")
     ordered = sized.repartition("technique").sortWithinPartitions("technique", F.desc("confidence"), F.desc("__total"), "title", "created_at", "id")
     columns = ["id", "technique", "title", "description", "implementation_steps", "key_code"]
-    return ordered.select(*columns).mapInArrow(fold, "id long, technique string, leader long")
+    return map_texts(ordered.select(*columns), fold, "id long, technique string, leader long")
 
 
 def merge_clusters(tricks: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -8,11 +8,12 @@ memory, such a table survives the loss of executors.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -20,30 +21,29 @@ PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; chosen here only where the session names none.
-
-    Without a setting, local mode (driver and executors are one process) uses a
-    temporary folder and a cluster uses the warehouse, which all executors share.
-    """
+    """The cluster's shared folder; where the session names none, one in the warehouse, which driver and executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        chosen = "file://" + tempfile.mkdtemp(prefix="sievelake-")
-    else:
-        chosen = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:
-    """Tables that one call writes to the shared folder and may drop again."""
+    """Tables that one call writes to the shared folder and may drop again.
+
+    A result that is not computed yet may still read them, so what is not dropped goes when
+    the driver's JVM ends; clear_scratch() removes it before, once results have been used.
+    """
+
+    _bases: ClassVar[list[str]] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
         self._paths: dict[str, str] = {}
+        fs, where = _located(spark, self.base)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        self._bases.append(self.base)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -65,9 +65,21 @@ class Scratch:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _located(self.spark, path)
+        fs.delete(where, True)
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process; results that still read them must have been written or collected before."""
+    while Scratch._bases:
+        fs, where = _located(spark, Scratch._bases.pop())
+        fs.delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,18 +87,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows sent to Python at a time, so that texts of any length stay within a worker's memory on both sides.
-TEXT_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes that an operator in Python works on at a time; Spark itself bounds what it sends by spark.sql.execution.arrow.maxBytesPerBatch.
+TEXT_ROWS, TEXT_BYTES = 1000, 8 << 20
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in portions (without copying) of bounded rows and, by a batch's mean, bytes."""
+    for batch in batches:
+        rows = max(1, min(TEXT_ROWS, batch.num_rows * TEXT_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow over batches small enough for long texts; a session that asks for smaller ones keeps them."""
-    spark = df.sparkSession
-    ship_package(spark)
-    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
-        spark.conf.set(_BATCH, TEXT_ROWS)
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow with this package on the workers, over portions small enough for long texts."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(lambda batches: run(_portions(batches)), schema)
 
 
 def ship_package(spark: SparkSession) -> None:
