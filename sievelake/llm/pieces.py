@@ -21,7 +21,7 @@ import regex
 #: Characters of texts encoded together, and pieces held at once of one very long text.
 CHUNK_CHARS, CHUNK_PIECES = 1_000_000, 250_000
 #: Distinct chunks a worker remembers; beyond it the memory starts anew, which costs time but changes nothing.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ class PieceCache:
 
 #: Scripts whose letters and digits have long been settled in Unicode; only in texts within them is the pattern matched here.
 _SETTLED = regex.compile("[\\x00-\\u052f\\u2000-\\u206f\\u20ac\\u3040-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
-_encoders: dict[tuple[str, int], "LibraryEncoder"] = {}
+_encoders: dict[str, "LibraryEncoder"] = {}
 
 
 class LibraryEncoder:
@@ -160,21 +160,21 @@ class LibraryEncoder:
 
     The library's model encodes every distinct piece; texts with characters outside
     long-settled scripts, whose classes may differ between Unicode versions, go to the
-    library whole.
+    library whole, as do texts that hold the string of a token added to the vocabulary.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
         # The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for characters from 256 on.
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
-        self.cache = PieceCache(pattern, self._encode_pieces, remembered)
+        self.cache = PieceCache(pattern, self._encode_pieces)
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         tokenize = self.model.tokenize
@@ -185,15 +185,18 @@ class LibraryEncoder:
             return piece.replace(" ", "\u0120")
         return piece.encode().decode("latin-1").translate(self.alphabet)
 
+    def _plain(self, text: str | None) -> bool:
+        return not text or ((text.isascii() or _SETTLED.fullmatch(text) is not None) and not any(token in text for token in self.added))
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        settled = [t is None or t.isascii() or _SETTLED.fullmatch(t) is not None for t in texts]
+        settled = [self._plain(t) for t in texts]
         cut = self.cache.encode(t for t, plain in zip(texts, settled, strict=True) if plain)
         for text, plain in zip(texts, settled, strict=True):
             yield next(cut) if plain else np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def library_encoder(path: str, pattern: str, remembered: int = REMEMBERED) -> LibraryEncoder:
+def library_encoder(path: str, pattern: str) -> LibraryEncoder:
     """The worker's encoder for a tokenizer file, kept from task to task."""
-    if (path, remembered) not in _encoders:
-        _encoders[path, remembered] = LibraryEncoder(path, pattern, remembered)
-    return _encoders[path, remembered]
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path, pattern)
+    return _encoders[path]

@@ -9,8 +9,10 @@ nothing before it is decoded.
 Documents are range-partitioned by doc_id, so that a shard is one range and its tokens lie
 in ascending order. A shard is written as segments of a bounded number of tokens (a single
 longer document makes a longer segment); each row of the written table holds one segment's
-bytes and its first token's number within the shard. Spark's committed writer stores them,
-so any shared file system will do and a task that is lost is simply run again.
+bytes, uncompressed. A directory beside them names each segment's first token in the whole
+corpus and its documents, so that a token or a document is found by its number and only its
+segment is read. Spark's committed writer stores both, so any shared file system will do
+and a task that is lost is simply run again.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.llm.pieces import library_encoder
@@ -32,8 +36,6 @@ MAGIC = b"DAC1"
 _HEAD = struct.Struct("<4sIQQ")  # magic, levels, documents, tokens
 _BLOCK = 512
 SEGMENT_TOKENS = 1 << 20
-#: Chunks a worker remembers here: writing is a job of its own, so its workers have the memory to encode fewer chunks twice.
-REMEMBERED_CHUNKS = 1_000_000
 
 
 def pack_segment(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
@@ -123,23 +125,26 @@ class Segment:
 
 
 def write_token_files(docs: DataFrame, target: str, path: str, pattern: str, end_id: int, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Encode the whole texts of docs (doc_id, text; other columns are ignored), end each with end_id, and write segments to target.
+    """Encode the whole texts of docs (doc_id, text; other columns are ignored), end each with end_id, and write segments and their directory under target.
 
-    Tokens lie in ascending doc_id (null first; rows with one doc_id in the order of their
-    texts' hashes). A null text counts as empty: its end id alone. An empty table writes
-    no segment. The tokenizer's file must lie at the same path on each executor.
+    Ids are those of the tokenizers library as it is loaded, without added ones. Tokens lie
+    in ascending doc_id (null first; rows with one doc_id in the order of their texts'
+    hashes). A null text counts as empty: its end id alone. A text of any length is encoded
+    whole and lies in one segment. Repeated rows are written once each. An empty table
+    writes no segment. The tokenizer's file must lie at the same path on each executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(path, pattern, REMEMBERED_CHUNKS)
+        encoder = library_encoder(path, pattern)
         shard, seq, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
         count = 0
 
         def segment() -> pa.RecordBatch:
-            columns = [[shard], [seq], [before], [count], [pack_segment(names, held)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "seq", "first", "n_tokens", "data"])
+            known = [n for n in names if n is not None]
+            columns = [[shard], [seq], [before], [count], [min(known, default=None)], [max(known, default=None)], [pack_segment(names, held)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_SEGMENT)
 
         for batch in batches:
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -152,9 +157,24 @@ def write_token_files(docs: DataFrame, target: str, path: str, pattern: str, end
         if names:
             yield segment()
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [*[pa.int64()] * 6, pa.binary()]
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    map_texts(ordered, run, "shard long, seq long, first long, n_tokens long, data binary").write.parquet(target)
+    segments = map_texts(ordered, run, ", ".join(f"{c} long" for c in _SEGMENT[:-1]) + ", data binary")
+    # Codes are compact already; uncompressed, without a dictionary, a segment's bytes lie in the file as they are.
+    segments.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{target}/segments")
+    _located(docs.sparkSession, target).drop("data").write.parquet(f"{target}/directory")
+
+
+_SEGMENT = ["shard", "seq", "first", "n_tokens", "least_doc", "most_doc", "data"]
+
+
+def _located(spark: SparkSession, source: str) -> DataFrame:
+    """The segments, their first token's number counted over all shards."""
+    segments = spark.read.parquet(f"{source}/segments")
+    # One row per range partition, so its size is bounded by the partition count of the write.
+    sizes = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return segments.join(F.broadcast(sizes.select("shard", before.alias("base"))), "shard").withColumn("first", F.col("base") + F.col("first")).select(*_SEGMENT)
 
 
 def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -> DataFrame:
@@ -177,20 +197,53 @@ def read_token_files(spark: SparkSession, source: str, with_ids: bool = False) -
                     columns.append(pa.array(all_ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    segments = spark.read.parquet(source)
-    # One row per range partition, so its size is bounded by the partition count of the write.
-    sizes = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = sizes.select("shard", before.alias("base"))
-    located = segments.join(F.broadcast(shards), "shard").select((F.col("base") + F.col("first")).alias("first"), "data")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [column.split()[0] for column in schema.split(", ")]
-    return map_texts(located, run, schema)
+    return map_texts(_located(spark, source).select("first", "data"), run, schema)
+
+
+def _segments_with(spark: SparkSession, source: str, wanted: Column) -> DataFrame:
+    """first and data of the segments that the directory finds; their names are pushed to the scan, which skips all others."""
+    found = spark.read.parquet(f"{source}/directory").where(wanted).select("shard", "seq", "first").collect()  # those of a few lookups
+    named = reduce(or_, ((F.col("shard") == r.shard) & (F.col("seq") == r.seq) for r in found), F.lit(False))
+    first = F.coalesce(*(F.when((F.col("shard") == r.shard) & (F.col("seq") == r.seq), r.first) for r in found), F.lit(0)).cast("long")
+    return spark.read.parquet(f"{source}/segments").where(named).select(first.alias("first"), "data")
+
+
+def tokens_at(spark: SparkSession, source: str, positions: list[int]) -> DataFrame:
+    """(position, token) of single ids by their number in the whole corpus, each by one rank per level; numbers beyond it have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                segment = Segment(data.as_py())
+                here = [p for p in positions if first <= p < first + segment.tokens]
+                tokens = [segment.token(p - first) for p in here]
+                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(tokens, pa.int64())], names=["position", "token"])
+
+    inside = (((F.col("first") <= p) & (F.lit(p) < F.col("first") + F.col("n_tokens"))) for p in positions)
+    return map_texts(_segments_with(spark, source, reduce(or_, inside, F.lit(False))), run, "position long, token long")
+
+
+def documents_at(spark: SparkSession, source: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of documents by their id, decoded alone; an id that is not there has no row, a repeated one several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = set(doc_ids)
+        for batch in batches:
+            for data in batch.column(1):
+                segment = Segment(data.as_py())
+                here = [k for k, name in enumerate(segment.doc_ids) if name in asked]
+                ids = [segment.document(k).astype(np.int32) for k in here]
+                yield pa.RecordBatch.from_arrays([pa.array([segment.doc_ids[k] for k in here], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    inside = (F.lit(d).between(F.col("least_doc"), F.col("most_doc")) for d in doc_ids)
+    return map_texts(_segments_with(spark, source, reduce(or_, inside, F.lit(False))), run, "doc_id long, ids array<int>")
 
 
 def token_table(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
     """Write docs to token files in the shared folder and read them back."""
     spark = docs.sparkSession
-    target = Scratch(spark, "token-files").path("segments")
+    target = Scratch(spark, "token-files").path("tokens")
     write_token_files(docs, target, path, pattern, end_id)
     return read_token_files(spark, target)

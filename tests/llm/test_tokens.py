@@ -11,14 +11,13 @@ from tokenizers import Tokenizer
 from sievelake.llm import queries
 from sievelake.llm.byte_bpe import encode_and_decode, load_ranks
 from sievelake.llm.packing import Placement, cut, pack_documents, plan_bins, sequences
-from sievelake.llm.token_files import Segment, pack_segment, read_token_files, token_table, write_token_files
+from sievelake.llm.token_files import Segment, documents_at, pack_segment, read_token_files, token_table, tokens_at, write_token_files
 from tests.conftest import EDGE_TEXTS, SMALL
 
 
 @pytest.fixture(scope="module")
 def library():
     found = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,6 +31,15 @@ def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_strings_of_added_tokens(library):
+    """As the library is loaded, the string of its end token in a text is that token."""
+    from sievelake.llm.pieces import LibraryEncoder
+
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|", None, "", "日本 <|endoftext|>", "<|endoftext|><|endoftext|> x"]
+    assert [ids.tolist() for ids in LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN).encode(texts)] == [library(t) for t in texts]
+    assert 50256 in library(texts[0])
+
+
 def test_matrix_merges_equal_tiktoken(reference_bpe):
     bpe = load_ranks(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = random.Random(5)
@@ -85,7 +93,15 @@ def test_many_segments_and_shards(spark, tmp_path, library):
     for row, doc in zip(got, docs.orderBy("doc_id").collect(), strict=True):
         assert (row.doc_id, row.start, row.ids) == (doc.doc_id, at, [*library(doc.text), 2])
         at += row.n_tokens
-    assert spark.read.parquet(f"file://{tmp_path}/t").count() > 5
+    directory = spark.read.parquet(f"file://{tmp_path}/t/directory").orderBy("first").collect()
+    assert len(directory) > 5
+    assert [r.first for r in directory] == [sum(x.n_tokens for x in directory[:i]) for i in range(len(directory))]
+    flat = [i for row in got for i in row.ids]
+    asked = [0, 1, 4999, 5000, 12_345, at - 1, at, -1]
+    assert {r.position: r.token for r in tokens_at(spark, f"file://{tmp_path}/t", asked).collect()} == {p: flat[p] for p in asked[:-2]}
+    some = {got[0].doc_id, got[57].doc_id, got[-1].doc_id}
+    assert {r.doc_id: r.ids for r in documents_at(spark, f"file://{tmp_path}/t", [*some, 10**12]).collect()} == {r.doc_id: r.ids for r in got if r.doc_id in some}
+    assert tokens_at(spark, f"file://{tmp_path}/t", []).count() == 0
 
 
 def test_op3_rows(spark, edge_docs, library):
