@@ -1,16 +1,26 @@
 """Toxicity by class-conditional Kneser-Ney models of word pairs.
 
-Two models are trained, one on documents labelled toxic and one on the others. A pair's
-discounted count backs off to a continuation count (in how many contexts the class has the
-word), and that one to the continuation counts of both classes together; how much of the
-mass backs off is shared by the classes, so that rare expressions, known to neither, weigh
-nothing. A text's log-likelihood ratio is normalised by its length, over the whole text and
-over the eight words where it is highest, since a few words can make a long text toxic. A
-logistic curve, fitted to labelled documents that the counts have not seen, turns both, and
-the highest single ratio, into a score.
-
-Training reads a bounded sample of labelled rows (TRAIN_ROWS), whose size bounds the models:
-they keep all words and pairs that the discounts leave. Scoring is one pass over all texts without a shuffle.
+Two models, one of documents labelled toxic and one of the others, give each word a
+probability after the word before it. With token counts N and types T (distinct followers),
+the probability of w after u in class c backs off in three steps:
+
+    P_c(w | u) = (N_c(u,w) - D_c)+ / N_c(u) + D_c T_c(u) / N_c(u) * B_c(w | u)     (B_c where c has not seen u)
+    B_c(w | u) = (N(u,w) - D)+ / N(u) + D T(u) / N(u) * Q_c(w)                      both classes' counts; Q_c where u is new
+    Q_c(w) = (1 - e) ((C_c(w) - d)+ + d K(w) pi_c) / C_c + e / (V + 1)
+
+C_c(w) counts the contexts of w in the class. What the last step takes off a word in its
+K(w) classes goes into one pot per word, from which each class draws its share pi_c of all
+types: a word seen once says little about either class, and one that neither knows says
+nothing. Each discount is n1 / (n1 + 2 n2) of the counts that it is taken from.
+
+A document is compared by length-normalised log-likelihoods, toxic minus ordinary, per word:
+of the whole text and of its passages of a few words where the difference is largest, since
+a few words can make a long text toxic; under the whole model, and under Q alone. A logistic
+curve, fitted to labelled documents that the counts have not seen, turns these into a score.
+
+Training reads a bounded sample of labelled rows (TRAIN_ROWS), whose size bounds the model:
+it keeps the counts of all words and pairs of the sample. Scoring is one pass over all texts
+without a shuffle; the model goes to each worker once.
 """
 
 from __future__ import annotations
@@ -18,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +44,9 @@ from sievelake.storage import Scratch, map_texts
 TRAIN_ROWS = 20_000
 #: One training row in so many fits the curve instead of the counts.
 CURVE_EVERY = 4
-PAIR_DISCOUNT, WORD_DISCOUNT, SHARED_MASS, WINDOW = 3.0, 2.0, 0.2, 8
+#: Lengths, in words, of the passages that are compared beside the whole text: under the model of pairs, and under its last step.
+PAIR_PASSAGES, WORD_PASSAGES = (8,), (1, 2, 8, 32)
+FEATURES = 2 + len(PAIR_PASSAGES) + len(WORD_PASSAGES)
 
 _WORD = re.compile(r"\w+")
 _START = np.uint64(1)
@@ -44,43 +57,125 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _pair_keys(hashes: np.ndarray) -> np.ndarray:
-    left = np.concatenate(([_START], hashes[:-1]))
-    return mix(left + np.uint64(0x9E3779B97F4A7C15)) ^ hashes
+def _before(hashes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([_START], hashes[:-1])) if len(hashes) else hashes
+
+
+def _pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before + np.uint64(0x9E3779B97F4A7C15)) ^ word
+
+
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) of positive counts, kept inside (0, 1) where there are none of them."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return (once + 0.5) / (once + 2 * twice + 1)
+
+
+class HashTable:
+    """Rows of counts by 64-bit keys: sorted keys with a directory of their leading bits."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        order = np.argsort(keys)
+        # A last row of zeros stands for all keys that are not there.
+        self.keys, self.rows = keys[order], np.concatenate((rows[order], np.zeros((1, rows.shape[1]), rows.dtype)))
+
+    @cached_property
+    def _directory(self) -> tuple[np.uint64, np.ndarray]:
+        bits = max(1, len(self.keys).bit_length())
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        return np.uint64(64 - bits), np.append(np.searchsorted(self.keys, edges), len(self.keys)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "rows": self.rows}
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The row of each key."""
+        shift, first = self._directory
+        cell = (wanted >> shift).astype(np.int64)
+        at, stop = first[cell], first[cell + 1]
+        out = np.full(len(wanted), len(self.keys), np.int32)
+        going = np.flatnonzero(at < stop)
+        while len(going):
+            here = at[going]
+            hit = self.keys[here] == wanted[going]
+            out[going[hit]] = here[hit]
+            at[going] += 1
+            going = going[~hit & (here + 1 < stop[going])]
+        return self.rows[out]
+
+
+def _kept(counts: np.ndarray, discounts: float | np.ndarray) -> np.ndarray:
+    return np.maximum(counts - discounts, 0.0)
 
 
 @dataclass
 class ToxicityModel:
-    """Log-likelihood ratios of words and pairs by hash, and the curve from features to a score."""
-
-    words: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
-    word_ratio: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float64))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(1, np.uint64))
-    pair_ratio: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float64))
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
-
-    def ratios(self, text: str | None) -> np.ndarray:
-        """log P(word | before, toxic) - log P(word | before, ordinary) of each word; 0 for what neither knows."""
-        hashes = _hashes(text)
-        if not len(hashes):
-            return np.zeros(0)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        out = np.where(self.words[at] == hashes, self.word_ratio[at], 0.0)
-        keys = _pair_keys(hashes)
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == keys, self.pair_ratio[at], out)
-
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        found = self.ratios(text)
-        if not len(found):
-            return 0.0, 0.0, 0.0
-        sums = np.concatenate(([0.0], np.cumsum(found)))
-        width = min(WINDOW, len(found))
-        return float(found.mean()), float((sums[width:] - sums[:-width]).max() / width), float(found.max())
-
-    def score(self, text: str | None) -> float:
-        z = float(self.curve[0] + np.dot(self.curve[1:], self.features(text)))
-        return 1.0 / (1.0 + float(np.exp(-np.clip(z, -500, 500))))
+    """Counts (ordinary, toxic) of pairs, contexts and words by hash, the discounts, and the curve from features to a score."""
+
+    pairs: HashTable | None = None  # N_c(u,w)
+    words: HashTable | None = None  # N_c(u), T_c(u), T(u), C_c(w)
+    pair_discounts: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    pooled_discount: float = 0.0
+    word_discount: float = 0.0
+    contexts: np.ndarray = field(default_factory=lambda: np.ones(2))  # C_c
+    types: np.ndarray = field(default_factory=lambda: np.ones(2))  # distinct words of each class
+    vocabulary: int = 0
+    unknown: float = 1.0  # e
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(1 + FEATURES))
+
+    @classmethod
+    def of_counts(cls, before: np.ndarray, word: np.ndarray, pairs: np.ndarray, names: np.ndarray, words: np.ndarray) -> ToxicityModel:
+        """From hashes and counts (n, 2) of distinct pairs, and hashes and counts (n, 7) of distinct words and contexts."""
+        of_word = words[:, 5:]
+        known = of_word.sum(axis=1) > 0
+        both = of_word[known].sum(axis=1)
+        return cls(
+            HashTable(_pair_keys(before, word), pairs), HashTable(names, words),
+            np.array([discount(pairs[:, c]) for c in (0, 1)]), discount(pairs.sum(axis=1)), discount(of_word.ravel()),
+            of_word.sum(axis=0, dtype=np.float64), (of_word > 0).sum(axis=0).astype(np.float64), int(known.sum()), (int((both == 1).sum()) + 1) / (int(both.sum()) + 2),
+        )
+
+    def _last_step(self, of_word: np.ndarray) -> np.ndarray:
+        """Q_c(w) of each word, a column per class."""
+        share = self.types / self.types.sum()
+        pot = self.word_discount * (of_word > 0).sum(axis=1, keepdims=True) * share
+        return (1 - self.unknown) * (_kept(of_word, self.word_discount) + pot) / self.contexts + self.unknown / (self.vocabulary + 1)
+
+    def log_ratios(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(w | u, toxic) - log P(w | u, ordinary) of word hashes after others, by the whole model and by its last step."""
+        n_pair, of_context = self.pairs.find(_pair_keys(before, word)), self.words.find(before)
+        n, t, t_both = of_context[:, :2], of_context[:, 2:4], of_context[:, 4:5]
+        low = self._last_step(self.words.find(word)[:, 5:])
+        all_n = n.sum(axis=1, keepdims=True)
+        shared = (_kept(n_pair.sum(axis=1, keepdims=True), self.pooled_discount) + self.pooled_discount * t_both * low) / np.maximum(all_n, 1)
+        shared = np.where(all_n > 0, shared, low)
+        high = (_kept(n_pair, self.pair_discounts) + self.pair_discounts * t * shared) / np.maximum(n, 1)
+        high = np.where(n > 0, high, shared)
+        return tuple(np.log(p[:, 1] / p[:, 0]) for p in (high, low))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: differences of log-likelihoods per word of the whole and of passages; zeros without words."""
+        out = np.zeros((len(texts), FEATURES))
+        hashes = [_hashes(t) for t in texts]
+        if self.pairs is None or not any(map(len, hashes)):
+            return out
+        by_pair, by_word = self.log_ratios(np.concatenate([_before(h) for h in hashes]), np.concatenate(hashes))
+        stops = np.cumsum([len(h) for h in hashes])
+        for row, stop, size in zip(out, stops.tolist(), map(len, hashes), strict=True):
+            if size:
+                row[:] = [*_compared(by_pair[stop - size : stop], PAIR_PASSAGES), *_compared(by_word[stop - size : stop], WORD_PASSAGES)]
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        z = self.curve[0] + self.features(texts) @ self.curve[1:]
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _compared(ratios: np.ndarray, passages: tuple[int, ...]) -> list[float]:
+    """The mean ratio, and the largest mean of each passage length."""
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    widths = (min(width, len(ratios)) for width in passages)
+    return [sums[-1] / len(ratios), *((sums[w:] - sums[:-w]).max() / w for w in widths)]
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -99,33 +194,39 @@ def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def _pair_rows(rows: DataFrame) -> DataFrame:
-    """(before, word, toxic, ordinary): in how many training documents of each class a pair of word hashes stands."""
+    """(before, word, ordinary, toxic): how often each class has a pair of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes = _hashes(text)
-                pairs = np.unique(np.stack((np.concatenate(([_START], hashes[:-1])), hashes)) if len(hashes) else np.zeros((2, 0), np.uint64), axis=1)
-                flag = np.full(pairs.shape[1], int(toxic))
-                parts.append((pairs[0].view(np.int64), pairs[1].view(np.int64), flag, 1 - flag))
-            columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)] if parts else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays(columns, names=["before", "word", "toxic", "ordinary"])
+            hashes = [_hashes(t) for t in batch.column(0).to_pylist()]
+            toxic = np.repeat(np.array(batch.column(1).to_pylist(), bool), [len(h) for h in hashes])
+            both = np.stack((np.concatenate([_before(h) for h in hashes]), np.concatenate(hashes))).astype(np.uint64)
+            found, place = np.unique(both, axis=1, return_inverse=True)
+            counts = [np.bincount(place.ravel()[mask], minlength=found.shape[1]) for mask in (~toxic, toxic)]
+            columns = [*(x.view(np.int64) for x in np.ascontiguousarray(found)), *counts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["before", "word", "ordinary", "toxic"])
 
-    exploded = map_texts(rows.where(~F.col("curve")).select("text", "toxic"), run, "before long, word long, toxic long, ordinary long")
-    return exploded.groupBy("before", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = map_texts(rows.where(~F.col("curve")).select("text", "toxic"), run, "before long, word long, ordinary long, toxic long")
+    return counted.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _kept(count: Column, discount: float) -> Column:
-    return F.greatest(count - discount, F.lit(0.0))
+def _word_rows(pairs: DataFrame) -> DataFrame:
+    """name and, in both roles, the counts of a word hash: N_c(u), T_c(u), T(u) as a context and C_c(w) as a word."""
+    classes, count = ("ordinary", "toxic"), F.count(F.lit(1))
+    seen = [F.sum((F.col(c) > 0).cast("long")) for c in classes]
+    contexts = pairs.groupBy(F.col("before").alias("name")).agg(*(F.sum(c).alias(f"n{i}") for i, c in enumerate(classes)), *(x.alias(f"t{i}") for i, x in enumerate(seen)), count.alias("t"))
+    words = pairs.groupBy(F.col("word").alias("name")).agg(*(x.alias(f"c{i}") for i, x in enumerate(seen)))
+    return contexts.join(words, "name", "full").na.fill(0)
 
 
 def _fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Ridge-regularised logistic regression by Newton's method, in the features' own units."""
+    order = np.lexsort((labels, *features.T))  # sums are the same whatever order the rows came in
+    features, labels = features[order], labels[order]
     centre, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
     x = np.column_stack((np.ones(len(features)), (features - centre) / spread))
     beta = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1.0, 1.0, 1.0])
+    ridge = np.diag([1e-6] + [1.0] * features.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = x.T @ (x * (p * (1 - p))[:, None]) + ridge
@@ -137,82 +238,57 @@ def _fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.concatenate(([beta[0] - slopes @ centre], slopes))
 
 
+def _counts(found: pa.Table, first: int) -> np.ndarray:
+    return np.column_stack([c.to_numpy().astype(np.int32) for c in found.columns[first:]])
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
     """Models and curve from labels (doc_id, toxic) of docs (doc_id, text). With one class only, every score is 0 or 1 accordingly."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     rows = scratch.save(_training_rows(docs, labels, most), "training")
     seen = {bool(r.toxic): r["count"] for r in rows.where(~F.col("curve")).groupBy("toxic").count().collect()}
     if len(seen) < 2:
         scratch.drop("training")
-        return ToxicityModel(curve=np.array([500.0 if True in seen else -500.0, 0, 0, 0]))
+        return ToxicityModel(curve=np.array([500.0 if True in seen else -500.0] + [0.0] * FEATURES))
     pairs = scratch.save(_pair_rows(rows), "pairs")
-
-    # In how many contexts each class has a word, and both together.
-    words = pairs.groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("t"), F.sum((F.col("ordinary") > 0).cast("long")).alias("o"))
-    words = scratch.save(words.withColumn("pool", F.col("t") + F.col("o")), "words")
-    total = words.agg(F.sum("pool").alias("all"), F.count(F.lit(1)).alias("n"), *(F.sum(_kept(F.col(c), WORD_DISCOUNT)).alias(c) for c in ("t", "o"))).first()
-
-    def given_class(c: str) -> Column:
-        shared = SHARED_MASS * (F.col("pool") + 0.5) / F.lit(total["all"] + 0.5 * total["n"])
-        return (1 - SHARED_MASS) * _kept(F.col(c), WORD_DISCOUNT) / F.lit(max(total[c], 1.0)) + shared
-
-    words = words.select("word", "pool", given_class("t").alias("pt"), given_class("o").alias("po"), ((F.col("t") > WORD_DISCOUNT) | (F.col("o") > WORD_DISCOUNT)).alias("own"))
-    # Per context: its pairs and their documents, which set the mass that both classes back off, and each class's kept mass.
-    contexts = pairs.groupBy("before").agg(
-        (PAIR_DISCOUNT * F.count(F.lit(1)) / F.sum(F.col("toxic") + F.col("ordinary"))).alias("back"),
-        F.sum(_kept(F.col("toxic"), PAIR_DISCOUNT)).alias("kt"),
-        F.sum(_kept(F.col("ordinary"), PAIR_DISCOUNT)).alias("ko"),
-    )
-    back = F.greatest(F.lit(0.3), F.least(F.lit(1.0), "back"))
-
-    def given_pair(count: str, kept: str, below: str) -> Column:
-        return F.when(F.col(kept) > 0, (1 - back) * _kept(F.col(count), PAIR_DISCOUNT) / F.col(kept) + back * F.col(below)).otherwise(F.col(below))
-
-    frequent = pairs.where((F.col("toxic") > PAIR_DISCOUNT) | (F.col("ordinary") > PAIR_DISCOUNT))
-    ratio = F.log(given_pair("toxic", "kt", "pt") / given_pair("ordinary", "ko", "po")).alias("ratio")
-    of_pairs = frequent.join(contexts, "before").join(words, "word")
-    of_pairs = of_pairs.select("before", "word", ratio)
-    of_words = words.where("own").select("word", F.log(F.col("pt") / F.col("po")).alias("ratio"))
-
-    w, p = of_words.toArrow(), of_pairs.toArrow()  # bounded by the sample
-    word_keys = w.column("word").to_numpy().view(np.uint64)
-    pair_keys = mix(p.column("before").to_numpy().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ p.column("word").to_numpy().view(np.uint64)
-    model = ToxicityModel()
-    if len(word_keys):
-        order = np.argsort(word_keys)
-        model.words, model.word_ratio = word_keys[order], w.column("ratio").to_numpy()[order]
-    if len(pair_keys):
-        order = np.argsort(pair_keys)
-        model.pairs, model.pair_ratio = pair_keys[order], p.column("ratio").to_numpy()[order]
+    p, w = pairs.toArrow(), _word_rows(pairs).toArrow()  # bounded by the sample
+    before, word, names = (x.to_numpy().view(np.uint64) for x in (p.column("before"), p.column("word"), w.column("name")))
+    model = ToxicityModel.of_counts(before, word, _counts(p, 2), names, _counts(w, 1))
+    shared = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([model.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), batch.column(1)], names=["mean", "window", "top", "toxic"])
-
-    seen = map_texts(rows.where("curve").select("text", "toxic"), features, "mean double, window double, top double, toxic boolean").toArrow()
-    found = np.column_stack([seen.column(i).to_numpy() for i in range(3)]) if seen.num_rows else np.zeros((1, 3))
-    toxic = seen.column(3).to_numpy().astype(float) if seen.num_rows else np.zeros(1)
-    model.curve = _fit_curve(found, toxic)
-    scratch.drop("training", "pairs", "words")
+            found = shared.value.features(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), batch.column(1)], names=[*names_, "toxic"])
+
+    names_ = [f"f{i}" for i in range(FEATURES)]
+    seen = map_texts(rows.where("curve").select("text", "toxic"), features, ", ".join(f"{n} double" for n in names_) + ", toxic boolean").toArrow()
+    if seen.num_rows:
+        model.curve = _fit_curve(np.column_stack([seen.column(n).to_numpy() for n in names_]), seen.column("toxic").to_numpy().astype(float))
+    shared.unpersist()
+    scratch.drop("training", "pairs")
     return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs (text, any others) with score and predicted beside each row.
 
-    score is from 0 to 1, higher for likelier toxic; predicted is 1 from 0.5 on. Texts that
-    are null, empty or wordless have a ratio of 0 and the curve's score for it. Columns named
-    score or predicted in docs are replaced. An empty table stays empty.
+    score is from 0 to 1, higher for likelier toxic; predicted is 1 from 0.5 on. Texts of any
+    length are read whole. Texts that are null, empty or wordless have a ratio of 0 and the
+    curve's score for it. Equal texts have equal scores, and a repeated row comes back as
+    often as it went in. Columns named score or predicted in docs are replaced. An empty
+    table stays empty.
     """
     rest = docs.drop("score", "predicted")
     at = rest.columns.index("text")
     names = [*rest.columns, "score", "predicted"]
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # loaded once per worker, not per task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(at).to_pylist()]
-            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+            scores = shared.value.scores(batch.column(at).to_pylist())
+            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_texts(rest, run, T.StructType([*rest.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))

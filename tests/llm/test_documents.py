@@ -1,6 +1,7 @@
 """Dedup, sharding, PII, toxicity and top-k against brute force, on whole small tables and on edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import signal
@@ -11,9 +12,11 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sievelake.llm import near_dedup as N
 from sievelake.llm import queries
+from sievelake.llm import toxicity as T
 from sievelake.llm.exact_dedup import exact_duplicates
 from sievelake.llm.line_dedup import digest_of_lines, drop_frequent_lines
 from sievelake.llm.pii import replace_pii
@@ -22,7 +25,7 @@ from sievelake.llm.shingles import band_keys, enough_in_common, one_permutation_
 from sievelake.llm.topk import exact_top_k, search_table
 from sievelake.llm.toxicity import is_held_out, score_documents, train
 from sievelake.storage import table
-from tests.conftest import SMALL
+from tests.conftest import EDGE_TEXTS, SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -356,8 +359,74 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def _discount(counts):
+    once, twice = (sum(n == k for n in counts) for k in (1, 2))
+    return (once + 0.5) / (once + 2 * twice + 1)
+
+
+def _kneser_ney(rows):
+    """P(class, before, word) and Q(class, word) by dictionaries of the words themselves; rows of (text, toxic)."""
+    pairs = [Counter(), Counter()]
+    for text, toxic in rows:
+        words = ["\x00", *re.findall(r"\w+", (text or "").lower())]
+        pairs[toxic].update(itertools.pairwise(words))
+    pool = pairs[0] + pairs[1]
+    n, t, cont = ([Counter() for _ in range(3)] for _ in range(3))
+    for k, counts in enumerate((*pairs, pool)):
+        for (u, w), times in counts.items():
+            n[k][u] += times
+            t[k][u] += 1
+            cont[k][w] += 1
+    d = [_discount(c.values()) for c in (*pairs, pool)]
+    d_word = _discount([*cont[0].values(), *cont[1].values()])
+    both = Counter(cont[0]) + Counter(cont[1])
+    unknown = (sum(x == 1 for x in both.values()) + 1) / (sum(both.values()) + 2)
+    share = [len(cont[c]) / (len(cont[0]) + len(cont[1])) for c in (0, 1)]
+
+    def q(c, w):
+        pot = d_word * ((w in cont[0]) + (w in cont[1])) * share[c]
+        return (1 - unknown) * (max(cont[c][w] - d_word, 0) + pot) / sum(cont[c].values()) + unknown / (len(both) + 1)
+
+    def b(c, u, w):
+        return (max(pool[u, w] - d[2], 0) + d[2] * t[2][u] * q(c, w)) / n[2][u] if n[2][u] else q(c, w)
+
+    def p(c, u, w):
+        return (max(pairs[c][u, w] - d[c], 0) + d[c] * t[c][u] * b(c, u, w)) / n[c][u] if n[c][u] else b(c, u, w)
+
+    return p, q, list(both)
+
+
+def test_model_equals_plain_kneser_ney(spark):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    model = train(docs, labels)
+    rows = [(r.text, int(r.toxic)) for r in T._training_rows(docs, labels, T.TRAIN_ROWS).where(~F.col("curve")).collect()]
+    p, q, vocabulary = _kneser_ney(rows)
+    for c in (0, 1):  # the last step is a distribution over known words and one for all others
+        assert abs(sum(q(c, w) for w in vocabulary) + q(c, "\x01") - 1) < 1e-9
+    texts = [r.text for r in docs.collect()] + EDGE_TEXTS
+    for text in texts:
+        words = ["\x00", *re.findall(r"\w+", (text or "").lower())][:4000]
+        hashes = np.array([xxh3_64_intdigest(w) for w in words], np.uint64)
+        hashes[0] = 1
+        high, low = model.log_ratios(hashes[:-1], hashes[1:])
+        want = [np.log(p(1, u, w) / p(0, u, w)) for u, w in itertools.pairwise(words)]
+        assert np.abs(high - want).max(initial=0) < 1e-9
+        assert np.abs(low - [np.log(q(1, w) / q(0, w)) for w in words[1:]]).max(initial=0) < 1e-9
+        if words[1:] and len(words) < 4000:
+            best = [max(sum(want[i : i + k]) / k for i in range(len(want) - k + 1)) for k in [min(8, len(want))]][0]
+            assert np.abs(model.features([text])[0, :2] - [np.mean(want), best]).max() < 1e-9
+
+
+def test_held_out_accuracy(spark):
+    """On held-out rows of sf0.01; about one labelled row in eight holds no sign of its label."""
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    scored = score_documents(docs, train(docs, labels)).where(is_held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    assert len(scored) > 50
+    assert sum(r.predicted == r.toxic for r in scored) / len(scored) >= 0.9
+
+
 def test_model_keeps_all_that_was_learnt(spark):
-    """More pairs, and words in enough contexts, than 300,000: all of them stay, those of the few toxic rows too."""
+    """More pairs and words than any cap would leave: all of them stay, those of the few toxic rows too."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(102_000)]
     orders = [rng.sample(words, len(words)) for _ in range(3)]
@@ -366,9 +435,9 @@ def test_model_keeps_all_that_was_learnt(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 16)) for i, _ in rows], "doc_id long, toxic int")
     model = train(docs, labels)
-    assert len(model.pairs) > 305_000
-    assert len(model.words) > 100_000
-    assert model.ratios("rare grumble rare grumble")[1:].min() > 0
+    assert len(model.pairs.keys) > 305_000
+    assert len(model.words.keys) > 100_000
+    assert model.features(["rare grumble rare grumble"])[0, 0] > 0
 
 
 # --- top-k ---
