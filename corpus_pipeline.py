@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sievelake.llm.line_dedup import drop_frequent_lines
 from sievelake.llm.near_dedup import keep_one
 from sievelake.llm.packing import pack_documents
-from sievelake.llm.pii import replace_pii
+from sievelake.llm.pii import replace_pii, session_key
 from sievelake.llm.toxicity import score_documents, train
 from sievelake.storage import Scratch, ship_package, table
 
@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    return _recounted(replace_pii(_documents(docs)))
+    return _recounted(replace_pii(_documents(docs), session_key(spark)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

@@ -82,6 +82,14 @@ def clear_scratch(spark: SparkSession) -> None:
         fs.delete(where, True)
 
 
+def spare_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column (whatever its case) is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
