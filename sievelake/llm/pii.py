@@ -1,39 +1,53 @@
 """PII surrogates: each detected entity becomes another of its kind, the same one everywhere.
 
-Built-in functions only. One expression finds all mentions of a text; each mention names
-its entities (kind, canonical form), of which a keyed hash draws the surrogate in the
+Built-in functions only. Lines without any sign of personal data, nearly all, are passed by
+after one cheap scan; in the others one expression finds the mentions. Each mention names
+its entity (kind, canonical form), of which a keyed hash draws the surrogate in the
 mention's own format: digits for digits, letters for letters in their case, separators as
 they stand. Formatting variants of one entity share its canonical form and so its surrogate.
 
+A person is found behind a title. From then on the words of the name are that document's
+names: they are replaced wherever they stand in it with a capital, with a title or without.
+A given name's sex is that of any titled mention in the document, else of the corpus where
+that is one only, so that every mention of a person gets the same names.
+
 Distinctness is checked over the whole corpus before any text is rewritten: the table of
 distinct entities draws its surrogates, and entities whose surrogate another one has
 already, or is itself an entity of the corpus, draw again until none is left; formats with
-too little room for that get longer surrogates from LONGER_FROM on. Only those few that
-had to draw again are joined to the documents that mention them; for all others
-the expression alone gives the surrogate.
+too little room for that get longer surrogates from LONGER_FROM on. Only those that had to
+draw again, or whose sex the corpus told, are joined to the documents that mention them;
+for all others the expression alone gives the surrogate.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelake.storage import Scratch
+from sievelake.storage import Scratch, spare_name
 
 # --- Fixed values: patterns of what counts as personal, and stocks of replacement names ---
-EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-ASSIGNED = r"(?<=(?i:password|passwd|secret|token|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{8,}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
-CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+EMAIL = r"[\w+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+CLOUD_KEY = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
+SECRET_NAMES = "password|passwd|secret|token|api_key|apikey"
+SECRET = r"(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{8,}"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IPV4 = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+IPV6 = r"(?=[A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})"
+PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{1,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4})"
+CARD_CUES = "card|visa|mastercard|amex|karte|kreditkarte|carte|tarjeta"
+CARD = rf"(?:(?i:{CARD_CUES})(?: (?i:number|no\.?|nr\.?))?[ :#]{{1,3}})?(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}})"
+SSN = r"\d{3}-\d{2}-\d{4}"
+ADDRESS_TYPES = "Street|Avenue|Road|Lane|Boulevard|Drive|Court|Square"
+ADDRESS_ENDS = "straße|strasse|weg|platz|allee|gasse"
+ADDRESS = rf"(?:\d{{1,5}} (?:\p{{Lu}}\p{{L}}+ ){{1,3}}(?:{ADDRESS_TYPES})|\p{{Lu}}\p{{L}}*(?:{ADDRESS_ENDS}) \d{{1,4}}[a-z]?)"
 MALE_TITLES = "Mr|Herr|Monsieur|Señor|Sr|Don|Г-н|Господин|Κύριος"
 FEMALE_TITLES = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|Г-жа|Госпожа|Κυρία"
-PERSON = rf"(?<![\p{{L}}\d])(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}"
+OTHER_TITLES = "Dr|Prof"
 GIVEN = {
     ("latin", "m"): "Adam Albert Anton Bruno Carl Daniel David Emil Felix Frank Georg Henry Hugo Ivan Jakob Jonas Karl Leo Luis Marco Martin Max Oscar Otto Paul Peter Robert Simon Thomas Victor",
     ("latin", "f"): "Alice Anna Berta Carla Clara Diana Elena Emma Eva Flora Greta Hanna Ida Irene Jana Julia Laura Lena Lisa Maria Marta Nina Nora Olga Paula Rosa Sara Sofia Teresa Vera",
@@ -51,10 +65,49 @@ SYLLABLES = {
 LONGER_FROM = 10
 # --- End of fixed values ---
 
-MENTION = "|".join((EMAIL, CLOUD_KEY, ASSIGNED, IBAN, IPV4, PHONE, CARD, SSN, PERSON))
-#: Every branch of MENTION implies one of these, so the long expression is not tried on texts without any.
-HINT = rf"@|\d{{2}}|\d\.\d\.\d\.\d|AKIA|ASIA|(?i:password|passwd|secret|token|api_key|apikey) {{0,2}}[=:]|(?:{MALE_TITLES}|{FEMALE_TITLES}|Dr|Prof)\.? \p{{Lu}}"
+
+def _in_capitals_too(titles: str) -> str:
+    return f"{titles}|{titles.upper()}"
+
+
+MALE, FEMALE = _in_capitals_too(MALE_TITLES), _in_capitals_too(FEMALE_TITLES)
+TITLE = rf"(?:{MALE}|{FEMALE}|{_in_capitals_too(OTHER_TITLES)})\.? "
+PERSON = rf"{TITLE}(?:\p{{Lu}}\. ?){{0,2}}\p{{Lu}}[\p{{L}}\p{{M}}'’-]+(?: \p{{Lu}}[\p{{L}}\p{{M}}'’-]+){{0,2}}"
+#: (kind, what must not stand before, pattern, what must not stand after); a mention's kind is the first whose pattern it matches.
+KINDS = [
+    ("email", r"(?<![\w.+-])", EMAIL, ""),
+    ("cloud_key", r"(?<![A-Za-z0-9])", CLOUD_KEY, r"(?![A-Za-z0-9])"),
+    ("secret", rf"(?<=(?i:{SECRET_NAMES})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)", SECRET, ""),
+    ("iban", r"(?<![A-Za-z0-9])", IBAN, r"(?![A-Za-z0-9])"),
+    ("ip", r"(?<![\w.])", IPV4, r"(?!\.?\w)"),
+    ("ip6", r"(?<![\w:.])", IPV6, r"(?![\w:.])"),
+    ("ssn", r"(?<![\w-])", SSN, r"(?![\w-])"),
+    ("phone", r"(?<![\w+.-])", PHONE, r"(?![\w-])"),
+    ("card", r"(?<![\w-])", CARD, r"(?![\w-])"),
+    ("address", r"(?<![\p{L}\d])", ADDRESS, r"(?![\p{L}\d])"),
+    ("person", r"(?<![\p{L}\d])", PERSON, ""),
+]
+MENTION = "|".join(before + pattern + after for _, before, pattern, after in KINDS)
+#: Every kind of mention implies one of these signs, so the long expression is not tried on lines without any.
+HINT = (
+    rf"(?=[@0-9:=A{''.join(sorted({t[0] for t in TITLE[3:].split('|')}))}])(?:@|\d(?:\d|\.\d| \p{{Lu}})|\d(?<=(?:{ADDRESS_ENDS}) \d)|:(?<=[0-9A-Fa-f]:)[0-9A-Fa-f:]"
+    rf"|A(?:KIA|SIA)|[=:](?<=(?i:{SECRET_NAMES}) {{0,2}}[=:])|{TITLE}\p{{Lu}})"
+)
 _COUNTRY = r"^\+\d{1,3}(?=[ (.-])"
+#: A text cut into words and what is between them.
+_WORDS = r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"
+#: Texts whose entities were drawn again are joined by a broadcast up to so many.
+FEW_TEXTS = 50_000
+
+
+@cache
+def _process_key() -> str:
+    return secrets.token_hex(16)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in spark.sievelake.pii.key; without one, a random key of this process, with which nobody can link its surrogates later."""
+    return spark.conf.get("spark.sievelake.pii.key", None) or _process_key()
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,64 +115,124 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _whole(pattern: str) -> str:
-    """The pattern over a whole mention, without its look-around conditions on neighbours."""
-    for part in (r"(?<![\w.+-])", r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])", r"(?<![\w.])", r"(?!\.?\w)", r"(?<![\w+])", r"(?!\w)", r"(?<![\w-])", r"(?![\w-])", r"(?<![\p{L}\d])"):
-        pattern = pattern.replace(part, "")
-    return f"^(?:{pattern})$"
+def _card_digits(mention: Column) -> Column:
+    return F.regexp_replace(mention, r"\D", "")
 
 
 def kind_of(mention: Column) -> Column:
-    named = [("email", EMAIL), ("ip", IPV4), ("cloud_key", CLOUD_KEY), ("ssn", SSN), ("card", CARD), ("phone", PHONE), ("iban", IBAN), ("person", PERSON)]
+    """The kind, or 'none' of numbers that neither a cue nor their check digit makes a card's."""
     out = F.when(F.lit(False), "")
-    for kind, pattern in named:
-        out = out.when(mention.rlike(_whole(pattern)), kind)
+    for kind, _, pattern, _ in KINDS:
+        if kind == "card":
+            real = mention.rlike(r"^\D") | (mention.rlike(r"^(?:[3-6]|2[2-7])") & (_luhn_sum(_card_digits(mention)) % 10 == 0))
+            out = out.when(mention.rlike(f"^(?:{pattern})$"), F.when(real, kind).otherwise("none"))
+        elif kind != "secret":
+            out = out.when(mention.rlike(f"^(?:{pattern})$"), kind)
     return out.otherwise("secret")
 
 
 def _canonical(mention: Column, kind: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(mention, _COUNTRY, ""), r"\D", "")
     return (
-        F.when(kind == "email", F.lower(mention))
+        F.when(kind.isin("email", "ip6", "address"), F.lower(mention))
         .when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .when(_is_name(kind), F.lower(mention))
         .otherwise(mention)
     )
 
 
-def _title(mention: Column) -> Column:
-    return F.regexp_extract(mention, r"^[^ ]+ ", 0)
+def _sex(mention: Column) -> Column:
+    title = F.regexp_extract(mention, r"^([^ .]+)", 1)
+    return F.when(title.rlike(f"^(?:{MALE})$"), "m").when(title.rlike(f"^(?:{FEMALE})$"), "f").otherwise("u")
 
 
-def _name_words(mention: Column) -> Column:
-    return F.split(F.regexp_replace(mention, r"^[^ ]+ ", ""), " ")
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _sex(mention: Column) -> Column:
-    title = F.regexp_replace(_title(mention), r"[. ]+$", "")
-    return F.when(title.rlike(f"^(?:{MALE_TITLES})$"), "m").when(title.rlike(f"^(?:{FEMALE_TITLES})$"), "f").otherwise("u")
+def _names(mentions: Column) -> Column:
+    """map<name in small letters, kind> of the words of a document's persons; one-letter words are no names."""
 
+    def words(name: Column) -> Column:
+        return F.filter(F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)), lambda w: F.length(w) > 1)
 
-def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+    def of_person(m: Column) -> Column:
+        name = F.regexp_replace(m["written"], rf"^{TITLE}", "")
+        alone = ~name.contains(" ")
+        given = F.when(alone, F.array().cast("array<string>")).otherwise(words(F.regexp_replace(name, r" [^ ]+$", "")))
+        return F.struct(_sex(m["written"]).alias("sex"), given.alias("given"), words(F.regexp_extract(name, r"[^ ]+$", 0)).alias("family"))
+
+    def united(persons: Column) -> Column:
+        given = F.array_distinct(F.flatten(persons["given"]))
+        family = F.array_except(F.flatten(persons["family"]), given)
+
+        def kind(g: Column) -> Column:
+            sexes = F.array_distinct(F.filter(persons, lambda p: F.array_contains(p["given"], g) & (p["sex"] != "u"))["sex"])
+            return F.concat(F.lit("given_"), F.when(F.size(sexes) == 1, sexes[0]).otherwise("u"))
+
+        return F.map_from_arrays(F.concat(given, family), F.concat(F.transform(given, kind), F.transform(family, lambda _: F.lit("family"))))
+
+    return _let(F.transform(mentions, of_person), united)
+
+
+def _piece(written: Column, kind: Column | str | None) -> Column:
+    kind = F.lit(kind).cast("string") if kind is None or isinstance(kind, str) else kind
+    return F.struct(written.alias("written"), kind.alias("kind"))
+
+
+def pieces_of(text: Column) -> Column:
+    """array<struct<written, kind>> of a text with a hint, else null: mentions and names with their kind, what is between them with none."""
 
+    def mentions(line: Column) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(MENTION), F.lit(0)), lambda m: _piece(m, kind_of(m)))
 
-def _parts(written: Column) -> Column:
-    """array<struct<kind, written>> of a person's names: given names by sex, the last one the family's."""
-    words = _name_words(written)
-    given = F.concat(F.lit("given_"), _sex(written))
-    return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "family").otherwise(given).alias("kind"), w.alias("written")))
+    def of_line(line: Column) -> Column:
+        def around(gap: Column, m: Column) -> Column:
+            person = m["kind"] == "person"
+            title = F.when(person, F.regexp_extract(m["written"], rf"^{TITLE}", 0)).otherwise("")
+            name = F.when(person, F.regexp_replace(m["written"], rf"^{TITLE}", "")).otherwise(F.coalesce(m["written"], F.lit("")))
+            return F.array(_piece(gap, "text"), _piece(title, "title"), _piece(name, F.when(person | (m["kind"] == "none"), "text").otherwise(m["kind"])))
 
+        whole = F.array(_piece(line, "text"))
+        return F.when(line.rlike(HINT), F.flatten(F.zip_with(F.split(line, MENTION, -1), mentions(line), around))).otherwise(whole)
 
-def entities_of(mention: Column) -> Column:
-    """array<struct<kind, canonical>>: one entity, or the name parts of a person."""
+    def of_names(parts: Column, names: Column) -> Column:
+        def word(w: Column) -> Column:
+            return _piece(w, F.when(w.rlike(r"^\p{Lu}"), F.try_element_at(names, F.lower(w))))
 
-    def of(m: Column) -> Column:
-        names = F.transform(_parts(m["written"]), lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["written"]).alias("canonical")))
-        one = F.array(F.struct(m["kind"].alias("kind"), _canonical(m["written"], m["kind"]).alias("canonical")))
-        return F.when(m["kind"] == "person", names).otherwise(one)
+        def cut(part: Column) -> Column:
+            words = F.transform(F.regexp_extract_all(part["written"], F.lit(_WORDS), F.lit(0)), word)
+            alone = F.array(_piece(part["written"], F.when(part["kind"].isin("text", "title"), None).otherwise(part["kind"])))
+            return F.when((part["kind"] == "text") & (F.size(names) > 0), words).otherwise(alone)
 
-    return _let(F.struct(mention.alias("written"), kind_of(mention).alias("kind")), of)
+        return F.filter(F.flatten(F.transform(parts, cut)), lambda p: p["written"] != "")
+
+    # A line keeps the newline before it, so that the pieces make up the whole text.
+    lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.concat(F.when(i > 0, "\n").otherwise(""), line))
+    persons = F.filter(F.flatten(F.transform(F.filter(lines, lambda line: line.rlike(HINT)), mentions)), lambda m: m["kind"] == "person")
+    read = _let(F.struct(F.flatten(F.transform(lines, of_line)).alias("parts"), _names(persons).alias("names")), lambda x: of_names(x["parts"], x["names"]))
+    return F.when(text.rlike(HINT), read)
+
+
+def entities_of(pieces: Column) -> Column:
+    """array<struct<kind, canonical>> of the distinct entities among pieces."""
+    found = F.filter(pieces, lambda p: p["kind"].isNotNull())
+    return F.array_distinct(F.transform(found, lambda p: F.struct(p["kind"].alias("kind"), _canonical(p["written"], p["kind"]).alias("canonical"))))
+
+
+def mentions_in(pieces: Column) -> Column:
+    """How many mentions there are; names that follow each other are one."""
+
+    def counts(p: Column, i: Column) -> Column:
+        joined = (i > 1) & F.get(pieces, i - 1)["written"].isin(" ", "-", "'", "’") & _is_name(F.get(pieces, i - 2)["kind"])
+        return p["kind"].isNotNull() & ~F.coalesce(_is_name(p["kind"]) & joined, F.lit(False))
+
+    return F.size(F.filter(pieces, counts))
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.startswith("given_") | (kind == "family")
 
 
 def _draw(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -166,16 +279,11 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.reverse(F.split(digits, "")), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k")), step)["sum"]
 
 
-def _after(text: Column, n: int) -> Column:
-    return F.substring(text, F.lit(n + 1), F.length(text))
-
-
-def _card(mention: Column, draw: Column) -> Column:
-    """The brand's first digit stays, and the check digit is right exactly if it was."""
-    drawn = F.concat(F.substring(mention, 1, 1), _after(_reshaped(mention, draw, F.lit(False)), 1))
+def _checked(drawn: Column, old: Column, draw: Column) -> Column:
+    """A drawn card number whose check digit is right exactly if the old number's was."""
     body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
     check = (F.lit(10) - _luhn_sum(F.concat(F.regexp_replace(body, r"\D", ""), F.lit("0"))) % 10) % 10
-    valid = _luhn_sum(F.regexp_replace(mention, r"\D", "")) % 10 == 0
+    valid = _luhn_sum(_card_digits(old)) % 10 == 0
     wrong = (check + 1 + _byte(draw, 60) % 9) % 10
     return F.concat(body, F.when(valid, check).otherwise(wrong).cast("string"))
 
@@ -205,39 +313,60 @@ def _name(word: Column, kind: Column, draw: Column, attempt: Column) -> Column:
     return _in_case_of(F.when(kind == "family", family).otherwise(given), word)
 
 
+def _address(written: Column, number: Column, name: Column) -> Column:
+    """The number in its format, another street name, the same type of street."""
+    number = F.regexp_replace(number, "^0", "9")
+    before = F.concat(number, F.lit(" "), name, F.lit(" "), F.regexp_extract(written, r"[^ ]+$", 0))
+    after = F.concat(name, F.regexp_extract(written, rf"({ADDRESS_ENDS}) ", 1), F.lit(" "), number, F.regexp_extract(written, r"[a-z]?$", 0))
+    return F.when(written.rlike(r"^\d"), before).otherwise(after)
+
+
 def surrogate_of_entity(key: str, kind: Column, written: Column, canonical: Column, attempt: Column) -> Column:
     """The replacement of an entity in the format in which it is written."""
 
+    def reshaped(e: Column) -> Column:
+        """With what stays before, and the drawn form of what changes by sign."""
+        kind, written = e["kind"], e["written"]
+        stays = (
+            F.when(kind == "cloud_key", F.substring(written, 1, 4))
+            .when(kind == "iban", F.substring(written, 1, 2))
+            .when(kind == "phone", F.regexp_extract(written, _COUNTRY, 0))
+            .when(kind == "card", F.regexp_extract(written, r"^\D*\d", 0))  # a cue, and the brand's first digit
+            .otherwise("")
+        )
+        changes = F.when(kind == "email", F.substring_index(written, "@", 1)).when(kind == "address", F.regexp_extract(written, r"\d+", 0)).otherwise(written)
+        hexadecimal = (kind == "ip6") | ((kind == "secret") & written.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+        given = F.when(kind == "address", F.lit("Ab")).otherwise(written)
+        name = F.when(_is_name(kind) | (kind == "address"), _name(given, F.when(kind == "address", "family").otherwise(kind), e["draw"], e["attempt"]))
+        body = F.substring(changes, F.length(stays) + 1, F.length(changes))
+        new = F.when(~_is_name(kind) & (kind != "ip"), _reshaped(body, e["draw"], hexadecimal))
+        return F.struct(e["kind"].alias("kind"), written.alias("written"), e["attempt"].alias("attempt"), e["draw"].alias("draw"), stays.alias("stays"), new.alias("new"), name.alias("name"))
+
     def made(e: Column) -> Column:
-        kind, written, draw, attempt = e["kind"], e["written"], e["draw"], e["attempt"]
-        no, country = F.lit(False), F.regexp_extract(written, _COUNTRY, 0)
-        digits_only = _reshaped(F.regexp_replace(written, _COUNTRY, ""), draw, no)
+        kind, written, draw = e["kind"], e["written"], e["draw"]
         domain = F.concat(*(F.char(F.lit(97) + _byte(draw, 40 + i) % 26) for i in range(8)), F.lit(".example"))
-        local = F.substring_index(written, "@", 1)
-
-        def roomy(short: Column, sign: str = "") -> Column:
-            """Eight numbers more where draws are often taken, so that there are always enough of them."""
-            more = (F.concat(F.lit(sign), (_byte(draw, 48 + i) % 10).cast("string")) for i in range(8))
-            return F.concat(short, F.when(attempt >= LONGER_FROM, F.concat(*more)).otherwise(""))
-
+        ip = F.concat_ws(".", *((_byte(draw, i) % 254 + 1).cast("string") for i in range(4)))
+        # Eight numbers more where draws are often taken, so that there are always enough of them.
+        more = F.concat(*((_byte(draw, 48 + i) % 10).cast("string") for i in range(8)))
+        more = F.when((e["attempt"] >= LONGER_FROM) & kind.isin("ip", "phone", "ssn", "secret"), F.concat(F.when(kind == "ip", ".").otherwise(""), more)).otherwise("")
+        number = F.regexp_extract(F.concat(e["stays"], e["new"]), r"\d.*$", 0)
         return (
-            F.when(kind == "email", F.concat(_reshaped(local, draw, no), F.lit("@"), domain))
-            .when(kind == "ip", roomy(F.concat_ws(".", *((_byte(draw, i) % 254 + 1).cast("string") for i in range(4))), "."))
-            .when(kind == "cloud_key", F.concat(F.substring(written, 1, 4), _reshaped(_after(written, 4), draw, no)))
-            .when(kind == "card", _card(written, draw))
-            .when(kind == "phone", F.concat(country, roomy(digits_only)))
-            .when(kind == "ssn", roomy(digits_only))
-            .when(kind == "iban", F.concat(F.substring(written, 1, 2), _reshaped(_after(written, 2), draw, no)))
-            .when(kind == "secret", roomy(_reshaped(written, draw, written.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))))
-            .otherwise(_name(written, kind, draw, attempt))
+            F.when(_is_name(kind), e["name"])
+            .when(kind == "email", F.concat(e["new"], F.lit("@"), domain))
+            .when(kind == "ip", F.concat(ip, more))
+            .when(kind == "card", F.concat(F.regexp_extract(written, r"^\D*", 0), _checked(number, written, draw)))
+            .when(kind == "address", _address(written, e["new"], e["name"]))
+            .otherwise(F.concat(e["stays"], e["new"], more))
         )
 
     draw = _draw(key, kind, canonical, attempt).alias("draw")
-    return _let(F.struct(kind.alias("kind"), written.alias("written"), attempt.alias("attempt"), draw), made)
+    drawn = F.struct(kind.alias("kind"), written.alias("written"), attempt.alias("attempt"), draw)
+    return _let(drawn, lambda e: _let(reshaped(e), made))
 
 
-def _mentions(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)))
+def _class(kind: Column) -> Column:
+    """Within what surrogates are kept apart: given names of any sex are one class."""
+    return F.when(kind.startswith("given_"), "given").otherwise(kind)
 
 
 def draw_again(mentioned: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -246,15 +375,16 @@ def draw_again(mentioned: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     def drawn(df: DataFrame) -> DataFrame:
         made = surrogate_of_entity(key, F.col("kind"), F.col("canonical"), F.col("canonical"), F.col("attempt"))
         # Emails and secrets are compared as canonical forms are; names without their case.
-        return df.withColumn("made", F.when(F.col("kind") == "secret", made).otherwise(F.lower(made)))
+        return df.withColumn("made", F.when(F.col("kind") == "secret", made).otherwise(F.lower(made))).withColumn("class", _class(F.col("kind")))
 
     entities = scratch.save(drawn(mentioned.withColumn("attempt", F.lit(0))), "entities")
-    originals = mentioned.select("kind", F.when(F.col("kind") == "secret", F.col("canonical")).otherwise(F.lower("canonical")).alias("made"), F.lit(True).alias("real"))
+    canonical = F.when(F.col("kind") == "secret", F.col("canonical")).otherwise(F.lower("canonical"))
+    originals = mentioned.select(_class(F.col("kind")).alias("class"), canonical.alias("made"))
     while True:
-        order = Window.partitionBy("kind", "made").orderBy("attempt", "canonical")
-        crowded = entities.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        late = entities.join(crowded.select("kind", "made"), ["kind", "made"]).withColumn("rank", F.row_number().over(order)).where("rank > 1")
-        real = entities.join(originals, ["kind", "made"], "left_semi")
+        order = Window.partitionBy("class", "made").orderBy("attempt", "canonical", "kind")
+        crowded = entities.groupBy("class", "made").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        late = entities.join(crowded.select("class", "made"), ["class", "made"]).withColumn("rank", F.row_number().over(order)).where("rank > 1")
+        real = entities.join(originals, ["class", "made"], "left_semi")
         losers = late.select("kind", "canonical").union(real.select("kind", "canonical")).distinct().withColumn("again", F.lit(1))
         losers = scratch.save(losers, "losers")
         if losers.isEmpty():
@@ -265,51 +395,65 @@ def draw_again(mentioned: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         entities = scratch.save(drawn(raised), "entities")
 
 
-def replace_pii(docs: DataFrame, key: str = "sievelake") -> DataFrame:
+def _overrides(mentioned: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """(kind, canonical, told, attempt): entities that draw again, or whose sex (in told) other documents tell."""
+    sexed = mentioned.where(F.col("kind").isin("given_m", "given_f")).groupBy("canonical").agg(F.min("kind").alias("told"), F.max("kind").alias("other"))
+    sexed = sexed.where("told = other").select(F.lit("given_u").alias("kind"), "canonical", "told")
+    known = mentioned.join(sexed, ["kind", "canonical"], "left").select("kind", "canonical", F.coalesce("told", "kind").alias("told"))
+    known = scratch.save(known, "known")
+    again = draw_again(known.select(F.col("told").alias("kind"), "canonical").distinct(), key, scratch)
+    joined = known.join(again.withColumnRenamed("kind", "told"), ["told", "canonical"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    return scratch.save(joined.where("told <> kind or attempt > 0").select("kind", "canonical", "told", "attempt"), "overrides")
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs (doc_id, text, any others) with personal data replaced, and n_pii, the mentions of each text, beside it.
 
-    Found are e-mail addresses, IPv4 addresses, phone numbers, card and social-security
-    numbers, IBANs, cloud keys, values assigned to passwords, secrets and tokens, and
-    persons introduced by a title. Equal entities get equal surrogates in all documents
+    Found are e-mail addresses, IP addresses, phone numbers, social-security numbers, IBANs,
+    cloud keys, values assigned to passwords, secrets and tokens, street addresses, card
+    numbers (behind a cue or with a card's first digits and check digit), and persons
+    introduced by a title, with all further mentions of their names in the same text (words
+    with a capital right behind a name are taken as part of it). Equal entities get equal surrogates in all documents
     and spellings, different entities of one kind different ones, none of which is itself
-    an entity of that kind in docs. A person's sex follows from the title, the script
-    from the name. The key decides all draws. A null text stays null with n_pii 0; an
-    empty text or table stays empty. A column n_pii in docs is replaced.
+    an entity of that kind in docs. A person's sex follows from the titles, the script from
+    the name. The key decides all draws; whoever has it can link surrogates, so it has no
+    default. A null text stays null with n_pii 0; an empty text or table stays empty. Texts
+    of any length are read whole, line by line. Equal texts, so repeated rows, stay equal.
+    A column n_pii in docs is replaced; any other column keeps its name and values.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    mention = docs.select(F.explode(_mentions(F.col("text"))).alias("mention")).select(F.explode(entities_of(F.col("mention"))).alias("e"))
-    again = draw_again(scratch.save(mention.select("e.*").distinct(), "mentioned"), key, scratch)
-
     rest = docs.drop("n_pii")
-    if again.isEmpty():
-        source, tries = rest, lambda kind, canonical: F.lit(0)  # noqa: ARG005
+    name = spare_name(rest.columns, "__text")
+    held = docs.where(F.col("text").rlike(HINT)).select(F.sha2("text", 256).alias(name), pieces_of(F.col("text")).alias("pieces"))
+    held = scratch.save(held.select(name, entities_of(F.col("pieces")).alias("entities")).where(F.size("entities") > 0), "held")
+    each = held.select(name, F.explode("entities").alias("e")).select(name, "e.*")
+    overrides = _overrides(each.select("kind", "canonical").distinct(), key, scratch)
+
+    if overrides.isEmpty():
+        source, told = rest, None
     else:
-        name = F.concat_ws("\x1f", "kind", "canonical")
-        of_text = docs.select(F.sha2("text", 256).alias("__text"), F.explode(F.array_distinct(_mentions(F.col("text")))).alias("mention"))
-        held = of_text.select("__text", F.explode(entities_of(F.col("mention"))).alias("e")).select("__text", "e.*").distinct()
-        few = held.join(again, ["kind", "canonical"]).groupBy("__text").agg(F.map_from_entries(F.collect_set(F.struct(name, "attempt"))).alias("__again"))
-        few = scratch.save(few, "again")
-        source = rest.withColumn("__text", F.when(F.col("text").rlike(HINT), F.sha2("text", 256))).join(few, "__text", "left")
-        tries = lambda kind, canonical: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("\x1f", kind, canonical)), F.lit(0))
-
-    def entity(kind: Column, written: Column, canonical: Column) -> Column:
-        return _let(F.struct(kind.alias("kind"), written.alias("written"), canonical.alias("canonical")), drawn)
-
-    def drawn(e: Column) -> Column:
-        return surrogate_of_entity(key, e["kind"], e["written"], e["canonical"], tries(e["kind"], e["canonical"]))
-
-    def of_kind(m: Column) -> Column:
-        names = F.transform(_parts(m["written"]), lambda p: entity(p["kind"], p["written"], F.lower(p["written"])))
-        person = F.concat(_title(m["written"]), F.array_join(names, " "))
-        return F.when(m["kind"] == "person", person).otherwise(entity(m["kind"], m["written"], _canonical(m["written"], m["kind"])))
-
-    def replaced(written: Column) -> Column:
-        return _let(F.struct(written.alias("written"), kind_of(written).alias("kind")), of_kind)
-
-    found = source.withColumn("__found", _mentions(F.col("text")))
-    gaps = F.split(F.col("text"), MENTION, -1)
-    pieces = F.zip_with(gaps, F.transform(F.col("__found"), replaced), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    text = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(F.col("text"))
-    n = F.greatest(F.coalesce(F.size("__found"), F.lit(0)), F.lit(0)).cast("long")
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in rest.columns]
-    return found.select(*columns, n.alias("n_pii"))
+        entry = F.struct(F.concat_ws("\x1f", "kind", "canonical").alias("k"), F.struct("told", "attempt").alias("v"))
+        told = spare_name(rest.columns, "__told")
+        few = each.distinct().join(overrides, ["kind", "canonical"]).groupBy(name).agg(F.map_from_entries(F.collect_set(entry)).alias(told))
+        few = scratch.save(few, "few")
+        named = rest.withColumn(name, F.when(F.col("text").rlike(HINT), F.sha2("text", 256)))
+        if few.count() <= FEW_TEXTS:
+            source = named.join(F.broadcast(few), name, "left").drop(name)
+        else:  # texts without a hint are not shuffled
+            joined = named.where(F.col(name).isNotNull()).join(few.hint("merge"), name, "left").drop(name)
+            source = joined.unionByName(rest.where(F.coalesce(~F.col("text").rlike(HINT), F.lit(True))), allowMissingColumns=True)
+    scratch.drop("held", "entities", "known", "overrides")
+
+    def replaced(piece: Column) -> Column:
+        canonical = _canonical(piece["written"], piece["kind"])
+        plain = F.struct(piece["kind"].alias("told"), F.lit(0).alias("attempt"))
+        other = plain if told is None else F.coalesce(F.try_element_at(F.col(told), F.concat_ws("\x1f", piece["kind"], canonical)), plain)
+        drawn = F.struct(piece["written"].alias("written"), canonical.alias("canonical"), other.alias("other"))
+        made = _let(drawn, lambda e: surrogate_of_entity(key, e["other"]["told"], e["written"], e["canonical"], e["other"]["attempt"]))
+        return F.when(piece["kind"].isNull(), piece["written"]).otherwise(made)
+
+    pieces = spare_name(source.columns, "__pieces")
+    read = source.withColumn(pieces, pieces_of(F.col("text")))
+    text = F.when(F.col(pieces).isNotNull(), F.array_join(F.transform(F.col(pieces), replaced), "")).otherwise(F.col("text"))
+    columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rest.columns]
+    return read.select(*columns, F.when(F.col(pieces).isNotNull(), mentions_in(F.col(pieces))).otherwise(F.lit(0)).cast("long").alias("n_pii"))

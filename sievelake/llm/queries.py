@@ -11,7 +11,7 @@ from sievelake.llm.exact_dedup import exact_duplicates
 from sievelake.llm.line_dedup import digest_of_lines, drop_frequent_lines
 from sievelake.llm.near_dedup import near_duplicates
 from sievelake.llm.packing import pack_documents
-from sievelake.llm.pii import replace_pii
+from sievelake.llm.pii import replace_pii, session_key
 from sievelake.llm.sharding import shard_documents
 from sievelake.llm.token_files import token_table
 from sievelake.llm.topk import search_table
@@ -49,7 +49,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", F.col("text").alias("clean_text"))
+    return replace_pii(table(spark, sf_dir, "documents"), session_key(spark)).select("doc_id", "n_pii", F.col("text").alias("clean_text"))
 
 
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

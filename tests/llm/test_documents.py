@@ -11,11 +11,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sievelake.llm import near_dedup as N
-from sievelake.llm import queries
+from sievelake.llm import pii, queries
 from sievelake.llm import toxicity as T
 from sievelake.llm.exact_dedup import exact_duplicates
 from sievelake.llm.line_dedup import digest_of_lines, drop_frequent_lines
@@ -252,9 +253,9 @@ def test_pii(spark, edge_docs):
     assert (got[5].text, got[6].text) == ("", PRIVATE[5][1])
     assert {r.doc_id: r.text for r in replace_pii(docs, "key one").collect()} == {i: r.text for i, r in got.items()}
     assert replace_pii(docs, "key two").where("doc_id = 1").first().text != got[1].text
-    edge = {(r.doc_id, r.text) for r in replace_pii(edge_docs).select("doc_id", "text").collect()}
+    edge = {(r.doc_id, r.text) for r in replace_pii(edge_docs, "k").select("doc_id", "text").collect()}
     assert edge == {(r.doc_id, r.text) for r in edge_docs.collect()}
-    assert replace_pii(edge_docs.limit(0)).count() == 0
+    assert replace_pii(edge_docs.limit(0), "k").count() == 0
 
 
 def test_pii_stays_distinct(spark):
@@ -262,7 +263,7 @@ def test_pii_stays_distinct(spark):
     numbers = [f"SSN {i:03d}-{i % 97:02d}-{i * 7 % 10_000:04d}" for i in range(900)]
     people = [f"Mrs Name{chr(97 + i // 26)}{chr(97 + i % 26)} Family" for i in range(120)]
     docs = spark.createDataFrame(list(enumerate(numbers + people)), "doc_id long, text string")
-    texts = [r.text for r in replace_pii(docs).orderBy("doc_id").collect()]
+    texts = [r.text for r in replace_pii(docs, "k").orderBy("doc_id").collect()]
     assert len(set(texts)) == len(texts)
     assert not set(texts) & set(numbers + people)
     assert len({t.split()[2] for t in texts[900:]}) == 1
@@ -270,7 +271,7 @@ def test_pii_stays_distinct(spark):
 
 def _cleaned(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [(r.text, r.n_pii) for r in replace_pii(docs).orderBy("doc_id").collect()]
+    return [(r.text, r.n_pii) for r in replace_pii(docs, "k").orderBy("doc_id").collect()]
 
 
 def test_each_kind_of_pii_alone(spark):
@@ -286,6 +287,106 @@ def test_each_kind_of_pii_alone(spark):
     assert beside[1] == f"{beside[0]} 12"
 
 
+def test_further_mentions_of_a_person(spark):
+    texts = [
+        "Mr John Smith came. Later Smith paid and John left.\nDr John Smith too, said Smith's wife; john and SMITH.",
+        "Dr John Smith", "Prof Robin Miller met Miller", "Mrs Robin Stone and Ms Anne-Marie O'Neil; O'Neil, Anne-Marie", "Mr Lee\nMrs Lee", "Mr Alex Roe and Mrs Alex Poe: Alex",
+        "MR JOHN SMITH, WROTE", "Don't miss the token", "Dr J. Smith",
+    ]
+    got = [text for text, _ in _cleaned(spark, texts)]
+    assert not any(name in "\n".join(got) for name in ("John", "Smith", "SMITH", "JOHN", "Miller", "Robin", "Anne", "Marie", "Neil", "Stone", "Lee", "Alex"))
+    given, family = re.match(r"Mr (\w+) (\w+) came\.", got[0]).groups()
+    assert got[0] == f"Mr {given} {family} came. Later {family} paid and {given} left.\nDr {given} {family} too, said {family}'s wife; john and {family.upper()}."
+    assert got[1] == f"Dr {given} {family}"
+    robin = re.match(r"Prof (\w+) (\w+) met (\w+)$", got[2]).groups()
+    assert robin[1] == robin[2]
+    assert re.match(r"Mrs (\w+) ", got[3])[1] == robin[0]  # the sex that another document tells
+    assert len({m for m in re.findall(r"\w+-\w+", got[3])}) == 1
+    assert len(set(re.findall(r"M\w+ (\w+)", got[4]))) == 1
+    alex = re.match(r"Mr (\w+) \w+ and Mrs (\w+) \w+: (\w+)$", got[5]).groups()
+    assert len(set(alex)) == 1
+    assert got[6].startswith(f"MR {given.upper()} {family.upper()}, WR")
+    assert got[7] == texts[7]
+    assert got[8] == f"Dr J. {family}"
+
+
+def test_what_is_no_card_and_more_kinds(spark):
+    kept = ["build 20240101123045", "id 9807915762804490", "at 12:30:45", "std::abc::def", "take 5 Steps", "0123 45", "Weg 5 ist"]
+    assert _cleaned(spark, kept) == [(t, 0) for t in kept]
+    found = _cleaned(spark, ["card 9807915762804490", "4111111111111111", "call 030 1234567 now", "01 23 45 67 89", "2001:db8:0:1:1:1:1:1 and fe80::1ff", "12 Baker Street in", "Hauptstraße 7b", "4111 1111 1111 1111"])
+    assert [n for _, n in found] == [1, 1, 1, 1, 2, 1, 1, 1]
+    shapes = [r"card 9\d{15}", r"4\d{15}", r"call \d{3} \d{7} now", r"\d\d( \d\d){4}", r"[\da-f]{4}:[\da-f]{3}(:[\da-f]){6} and [\da-f]{4}::[\da-f]{3}", r"\d\d [A-Z][a-z]+ Street in", r"[A-Z][a-z]+straße \db", r"4\d{3}( \d{4}){3}"]
+    for (text, _), shape in zip(found, shapes, strict=True):
+        assert re.fullmatch(shape, text), text
+    assert not {"9807915762804490", "4111111111111111", "1234567", "Baker", "Haupt", "2001:db8"} & set(re.split(r"[ ]", " ".join(t for t, _ in found)))
+    assert found[7][0].replace(" ", "") == found[1][0]
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a.b@c.example", "x", "y", None)], "doc_id long, text string, __new string, __text string, __told string")
+    found = replace_pii(docs, "k")
+    assert found.columns == [*docs.columns, "n_pii"]
+    assert tuple(found.first())[2:] == ("x", "y", None, 1)
+
+
+def _by_hand(texts):
+    """Each text as a list of literal strings and entities (class, canonical), by the patterns over whole texts, names by dictionary."""
+    mention = regex.compile(pii.MENTION)
+    out = []
+    for text in texts:
+        spans, given, family = [], set(), set()
+        for m in mention.finditer(text or ""):
+            kind = next((k for k, _, p, _ in pii.KINDS if k != "secret" and regex.fullmatch(p, m.group())), "secret")
+            digits = re.sub(r"\D", "", m.group())
+            if kind == "card" and m.group()[0].isdigit() and not (re.match("[3-6]|2[2-7]", digits) and _luhn(digits)):
+                continue
+            if kind == "person":
+                title = regex.match(pii.TITLE, m.group()).end()
+                words = [[w for w in regex.findall(r"[\p{L}\p{M}]+", name.lower()) if len(w) > 1] for name in m.group()[title:].split(" ")]
+                given |= {w for name in words[:-1] for w in name}
+                family |= set(words[-1])
+                continue
+            canonical = m.group().lower() if kind in ("email", "ip6", "address") else m.group()
+            if kind in ("phone", "card", "ssn"):
+                canonical = re.sub(r"\D", "", re.sub(r"^\+\d{1,3}(?=[ (.-])", "", canonical))
+            spans.append((m.start(), m.end(), kind, canonical.replace(" ", "") if kind == "iban" else canonical))
+        free = [(a, b) for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text or "")], strict=True)]
+        titles = [regex.match(pii.TITLE, m.group()) and (m.start(), m.start() + regex.match(pii.TITLE, m.group()).end()) for m in mention.finditer(text or "")]
+        for a, b in free:
+            for w in regex.finditer(r"[\p{L}\p{M}]+", text or "", pos=a, endpos=b):
+                low = w.group().lower()
+                if low in given | family and w.group()[0].isupper() and not any(t and t[0] <= w.start() < t[1] for t in titles):
+                    spans.append((w.start(), w.end(), "given" if low in given else "family", low))
+        spans.sort()
+        out.append([(text[a:b], s) for a, b, s in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text or "")], [*spans, None], strict=True)] if text else [])
+    return out
+
+
+def test_pii_equals_brute_force(spark):
+    """Literal text between mentions is untouched, every mention is replaced, and surrogates are a one-to-one map of entities."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in rows] + [(10**6 + i, t) for i, (_, t) in enumerate(PRIVATE)]
+    rows += [(2 * 10**6 + i, f"Mr Ab{chr(97 + i)}c De{chr(97 + i)}f wrote to x{i}@y.example.\nThen De{chr(97 + i)}f called 030 123456{i} from 10.0.0.{i}.") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in replace_pii(docs, "k").collect()}
+    made = {}
+    for (doc, text), parts in zip(rows, _by_hand([t for _, t in rows]), strict=True):
+        if not parts:
+            assert got[doc] == text
+            continue
+        pattern = "".join(re.escape(before) + ("(.+?)" if span else "") for before, span in parts)
+        match = re.fullmatch(pattern, got[doc], re.S)
+        assert match, (text[:200], got[doc][:200])
+        for (_, span), new in zip(parts, match.groups(), strict=False):
+            kind, canonical, old = span[2], span[3], text[span[0] : span[1]]
+            assert new != old
+            if kind in ("given", "family", "ip", "email"):
+                assert made.setdefault((kind, canonical), new.lower()) == new.lower()
+    by_kind = Counter((k, new) for (k, _), new in made.items())
+    assert max(by_kind.values()) == 1
+    assert len(made) > 20
+
+
 def test_assigned_secrets_in_any_case(spark):
     texts = ['TOKEN = "FACEBEADFACEBEAD"', "Password: hunterhunter", "API_KEY=abcdefgh_x", "Secret = 'qwertyuiop'", "ApiKey=abcdefgh-y", "see PASSWD:lettersonly"]
     for before, (text, n) in zip(texts, _cleaned(spark, texts), strict=True):
