@@ -175,7 +175,7 @@ def test_lines(spark, edge_docs):
             lines = text.split("\n")
             stay = [line for line in lines if not (key(line) and held[key(line)] >= 10)]
             want.append((doc, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
-        kept = drop_frequent_lines(docs)
+        kept = drop_frequent_lines(docs.withColumn("__doc", F.lit(1)).withColumn("__drop", F.lit("d"))).drop("__doc", "__drop")
         assert kept.columns == [*docs.columns, "n_lines", "n_dropped"]
         assert sorted((tuple(r) for r in digest_of_lines(kept).collect()), key=str) == sorted(want, key=str)
 
@@ -547,22 +547,22 @@ def test_model_keeps_all_that_was_learnt(spark):
 def _top(rows, every, k):
     out = []
     good = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for i, q in good:
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            best = sorted(((-sum(a * b for a, b in zip(q, c, strict=False)), j) for j, c in good if j != i))[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+            best = sorted(((-sum(a * b for a, b in zip(q, c, strict=False)), j) for m, (j, c) in enumerate(good) if m != n))[:k]
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
     return sorted(out)
 
 
 def test_top_k_edges(spark, monkeypatch):
     import sievelake.llm.topk as topk
 
-    monkeypatch.setattr(topk, "TILE_QUERIES", 3)
-    monkeypatch.setattr(topk, "TILE_CANDIDATES", 4)
+    monkeypatch.setattr(topk, "LEAST_SHARD", 4)
     monkeypatch.setattr(topk, "FAN_IN", 2)
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.0, 0.25, 0.5, 0.5]) for _ in range(4)]) for i in range(40)]
     rows += [(50, None), (51, [1.0, None]), (52, [float("nan")]), (53, [float("inf"), 1.0]), (54, []), (100, [1.0]), (None, [1.0]), (7, [0.5, 0.5, 0.5, 0.5])]
+    rows += [(20, [1.0, 1.0, 1.0, 1.0])] * 8 + [(20, [1.0, 0.5]), rows[5], rows[5], (200, [1.0] * 9)]  # repeated query rows, other vectors of one query's id
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in search_table(df, 5, 5).collect()) == _top(rows, 5, 5)
     assert search_table(df.limit(0)).count() == 0
@@ -570,3 +570,12 @@ def test_top_k_edges(spark, monkeypatch):
     big = spark.createDataFrame([(0, [2**40, 1]), (1, [2**20, 3]), (2, [2**20, 4])], "vec_id long, vector array<long>")
     found = exact_top_k(big.where("vec_id = 0").withColumnRenamed("vec_id", "query_id"), big, 5).collect()
     assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank)] == [(2, 2**60 + 4), (1, 2**60 + 3)]
+
+
+def test_top_k_of_repeated_rows_equals_its_sql(spark):
+    rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (0, [1.0, 1.0]), (1, [0.25, 0.5]), (1, [0.25, 0.5]), (2, [1.0, -1.0]), (50, [0.5, 0.5]), (50, [0.5, 0.5]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    want = con.sql(queries.ORACLE_SQL["op4_exact_top_k"]).fetchall()
+    assert sorted(tuple(r) for r in search_table(df).collect()) == sorted(want)
