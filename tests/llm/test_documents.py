@@ -17,11 +17,12 @@ from xxhash import xxh3_64_intdigest
 
 from sievelake.llm import near_dedup as N
 from sievelake.llm import pii, queries
+from sievelake.llm import sharding as S
 from sievelake.llm import toxicity as T
 from sievelake.llm.exact_dedup import exact_duplicates
 from sievelake.llm.line_dedup import digest_of_lines, drop_frequent_lines
 from sievelake.llm.pii import replace_pii
-from sievelake.llm.sharding import Leaf, even_tree, moved, shard_documents
+from sievelake.llm.sharding import Tree, even_tree, moved, shard_documents
 from sievelake.llm.shingles import band_keys, enough_in_common, one_permutation_sketch, parity_map, shingle_set
 from sievelake.llm.topk import exact_top_k, search_table
 from sievelake.llm.toxicity import is_held_out, score_documents, train
@@ -199,19 +200,60 @@ def test_shards(spark, edge_docs):
 
 def test_weights_and_movement(spark):
     ids = spark.range(40_000).withColumnRenamed("id", "doc_id")
-    tree = even_tree(24)
-    heavier = [Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree]
+    tree = Tree((1.0,) * 24, capacity=3.0)
+    heavier = Tree(tuple(3.0 if s == 5 else 1.0 for s in range(24)), capacity=3.0)
     docs = ids.withColumn("text", F.lit("x"))
     before = {r.doc_id: r for r in shard_documents(docs, tree=tree, grown=heavier).collect()}
     assert all(r.grown_shard in (r.shard, 5) for r in before.values())
     share = Counter(r.grown_shard for r in before.values())
     assert abs(share[5] / 40_000 - 3 / 26) < 0.01
     assert abs(Counter(r.shard for r in before.values())[7] / 40_000 - 1 / 24) < 0.01
-    for n in (1, 3, 25):  # any shard count: one more takes rows only into itself
-        grown = even_tree(n + 1)
-        rows = shard_documents(docs.limit(3000), tree=even_tree(n), grown=grown).collect()
+    for n in (1, 3, 8, 16, 24, 25):  # any shard count, also where the range of regions doubles: one more takes rows only into itself
+        rows = shard_documents(docs.limit(3000), tree=even_tree(n), grown=even_tree(n + 1)).collect()
         assert all(r.grown_shard in (r.shard, n) for r in rows)
+        assert abs(sum(r.grown_shard == n for r in rows) / 3000 - 1 / (n + 1)) < 0.03
     assert ids.where(moved(tree, tree)).count() == 0
+    for bad in ((0.0, 0.0), (2.0,), (-1.0, 1.0)):
+        with pytest.raises(ValueError, match="weights"):
+            Tree(bad)
+
+
+def test_walk_equals_plain_walk(spark, monkeypatch):
+    """The walk with loops, from the hashes as Spark gives them; with three draws a range, so that some keys end at the least draw."""
+    monkeypatch.setattr(S, "WALKS", 3)
+    tree = Tree((1.0, 0.5, 0.0, 1.0, 0.25, 1.0, 1.0, 0.5, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.75, 1.0, 1.0, 0.5))
+    keys = spark.range(300).select(F.col("id").alias("k")).union(spark.createDataFrame([(None,)], "k long"))
+    draw = spark.range(tree.ranges).select(F.col("id").cast("int").alias("l")).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("n")))
+    one = [F.col("k"), F.col("l"), F.col("n")]
+    region = F.pmod(F.xxhash64(F.lit("region"), *one), F.pow(F.lit(2), F.col("l")).cast("int")).cast("int")
+    rows = keys.crossJoin(draw).withColumn("r", region).withColumn("a", F.pmod(F.xxhash64(F.lit("rack"), F.col("r"), *one), F.lit(4)).cast("int"))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64(F.lit("shard"), F.col("r"), F.col("a"), *one), F.lit(2)).cast("int")).withColumn("s", (F.col("r") * 4 + F.col("a")) * 2 + F.col("s"))
+    rows = rows.withColumn("u", S.uniform(F.lit("weight"), F.col("s"), *one))
+    drawn = {(r.k, r.l, r.n): (r.r, r.s, r.u) for r in rows.collect()}
+    found = keys.select("k", S.place(F.col("k"), tree).alias("shard"), S.least_draw(F.col("k"), tree).alias("least")).collect()
+    ends = Counter()
+    for row in found:
+        used, level, want = [0] * tree.ranges, tree.ranges - 1, None
+        while want is None:
+            if used[level] >= 3:
+                if level == 0:
+                    want = row.least
+                    ends["least"] += 1
+                level -= 1
+                continue
+            region, shard, u = drawn[row.k, level, used[level]]
+            used[level] += 1
+            if level and region < 2**level / 2:
+                level -= 1
+            elif shard < len(tree.weights) and u < tree.weights[shard]:
+                want = shard
+            else:
+                level = tree.ranges - 1
+        assert row.shard == want
+        ends[row.shard] += 1
+    assert ends["least"] > 0
+    assert ends[2] == 0
+    assert len(ends) > 10
 
 
 # --- PII ---
