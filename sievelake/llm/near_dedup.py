@@ -15,10 +15,13 @@ Plan, for a corpus of any size:
    around all their members. A large one holds texts that share much but not enough (a
    common passage, say), so its members are dealt anew by an exact rule: in any one order
    of shingles, commonest last, two sets that are alike enough share a shingle among the
-   first n - ceil(percent * n) + 1 of each. Texts alike only in what is common meet no
-   more. These buckets get stars with eight times the centres in each round, members of
-   small components first. A centre has met all of its bucket and leaves it; a bucket is
-   closed when those left are one component.
+   first n - ceil(percent * n) + 1 of each. What two sets can share from their first
+   common shingle on bounds the sizes for which that is enough, so a shingle's place tells
+   which partners it can still have: it is dealt only into buckets of their size classes,
+   and leaves a bucket in which no member is small enough. Texts alike only in a common
+   passage meet no more, without any pair being looked at. These buckets get stars with
+   eight times the centres in each round, members of small components first. A centre has
+   met all of its bucket and leaves it; a bucket is closed when those left are one component.
 
 A pair at the threshold meets in no band with a probability of about 4e-6 (defaults); above
 it, less. A pair that meets is always settled exactly.
@@ -35,12 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelake.llm.shingles import PARITY_WORDS, band_keys, enough_in_common, one_permutation_sketch, parity_map, set_name, shingle_set
+from sievelake.llm.shingles import PARITY_WORDS, band_keys, enough_in_common, mix, one_permutation_sketch, parity_map, set_name, shingle_set
 from sievelake.operators.components import connected_components
-from sievelake.storage import Scratch, map_texts
+from sievelake.storage import Scratch, map_texts, spare_name
 
 #: Centres per bucket grow by this factor from one round to the next.
 STAR_GROWTH = 8
+#: Ratio of the sizes that make one class of partners.
+SIZE_CLASS = 1.05
+#: Parts in which a bucket's members are first ranked.
+RANK_PARTS = 16
 #: Texts from which the commonest shingles are learnt, and how many are kept; they only set an order, any order is exact.
 ORDER_TEXTS, ORDER_SHINGLES = 1000, 100_000
 _CELLS = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -120,7 +127,11 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(set_name, n, pos, bucket, parity map): the first shingles of each text, in the order in which the commonest come last."""
+    """(set_name, n, pos, bucket, parity map): the first shingles of each text, in the order in which the commonest come last.
+
+    A bucket is a shingle with the size classes of two partners. The shingle at a position
+    can be the first common one only of partners up to a size, which falls with the position.
+    """
     known, counts = _common_shingles(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +142,12 @@ def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
                 rank = np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)
                 first = len(found) + (-percent * len(found)) // 100 + 1
-                chosen = found[np.argsort(rank, kind="stable")[:first]]
-                owner.append(np.full(len(chosen), i))
-                sizes.append(np.full(len(chosen), len(found)))
-                places.append(np.arange(len(chosen)))
-                maps.append(np.repeat(parity_map(found)[:, None], len(chosen), axis=1))
-                keys.append(chosen.view(np.int64))
+                cells, places_of = partner_cells(found[np.argsort(rank, kind="stable")[:first]], len(found), percent)
+                owner.append(np.full(len(cells), i))
+                sizes.append(np.full(len(cells), len(found)))
+                places.append(places_of)
+                maps.append(np.repeat(parity_map(found)[:, None], len(cells), axis=1))
+                keys.append(cells.view(np.int64))
             if owner:
                 owners = pa.array(np.concatenate(owner))
                 columns = [batch.column(0).take(owners), *(pa.array(np.concatenate(x)) for x in (sizes, places, keys, *zip(*maps, strict=True)))]
@@ -145,6 +156,19 @@ def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return map_texts(texts.select("set_name", "text"), run, "set_name binary, n long, pos long, bucket long" + "".join(f", {c} long" for c in _CELLS))
 
 
+def partner_cells(chosen: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys and positions of a set's first shingles: one for each size class that partners of the position can have."""
+    pos = np.arange(len(chosen))
+    least = -(-percent * n // 100)
+    most = np.minimum(100 * n // percent, (100 + percent) * (n - pos) // percent - n)
+    own, low, high = (np.floor(np.log(np.maximum(x, 1)) / np.log(SIZE_CLASS)).astype(np.int64) for x in (n, least, most))
+    count = np.where(most >= least, high - low + 1, 0)
+    at = np.repeat(pos, count)
+    other = low + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    classes = (np.minimum(own, other).astype(np.uint64) << np.uint64(32)) + np.maximum(own, other).astype(np.uint64)
+    return mix(chosen[at] + mix(classes + np.uint64(0x9E3779B97F4A7C15))), at
+
+
 def _with_company(cells: DataFrame) -> DataFrame:
     """The cells whose bucket has more members, and their number."""
     shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -165,16 +189,21 @@ def _united(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Dat
     return scratch.save(renamed.select("node", F.coalesce("now", "component").alias("component")).union(new), "labels")
 
 
-def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The cells of buckets whose members span several components, with label and weight (classes in the component)."""
+def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The cells of buckets whose members span several components, with label and weight (classes in the component).
+
+    Cells from whose position on a set shares too little even with the smallest member are left out.
+    """
     named = cells.select("set_name", "n", *_CELLS, "pos", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
     named = named.join(sizes, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     named = named.withColumn("label", F.coalesce("component", "set_name")).drop("component")
+    smallest = cells.groupBy("bucket").agg(F.min("n").alias("least_n"))
+    named = named.join(smallest, "bucket").where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
     spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
     return named.join(spread.where(F.col("low") != F.col("high")).select("bucket", "members"), "bucket")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, with_keys: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, with_keys: bool = False, trace: list | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs (doc_id, text; other columns are ignored).
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of
@@ -183,7 +212,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     with nothing. Repeated rows come back as often as they went in. A null doc_id never
     names a component unless all of its component's are null. An empty table gives an
     empty result. with_keys adds text_hash (xxhash64 of the text) and component_key, which
-    names the component also where doc_ids repeat (null for an empty set).
+    names the component also where doc_ids repeat (null for an empty set). Texts of any
+    length are read whole. trace gets the number of rows joined with centres in each round.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     sketch = scratch.save(sketch_documents(docs, words, bands, rows), "sketch")
@@ -206,8 +236,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         # Members of small components first: once they have been centres, the rest is often one component. The first
         # stars have the same centres in all buckets, so that bands share pairs; later ones differ, to reach more families.
         live = live.withColumn("turn", F.xxhash64("set_name") if first else F.xxhash64("bucket", "set_name"))
-        order = Window.partitionBy("bucket").orderBy("weight", "turn", "set_name")
-        hubs = live.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+        order = ["weight", "turn", "set_name"]
+        hubs = live.withColumn("part", F.pmod(F.xxhash64("set_name"), F.lit(RANK_PARTS)))
+        for keys in (["bucket", "part"], ["bucket"]):  # a large bucket is ranked in parts first
+            hubs = hubs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= centres)
         hubs = scratch.save(hubs.select("bucket", F.col("set_name").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight"), F.col("turn").alias("hub_turn"), *(F.col(c).alias(f"hub_{c}") for c in _CELLS)), "hubs")
         # What two sets can share from their first common shingle on must reach what likeness asks of their sizes.
         enough = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) >= percent * (F.col("n") + F.col("hub_n"))
@@ -216,19 +248,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         enough = enough & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n")))
         # Of two hubs in one bucket only the first in order takes the pair.
         near = (F.col("label") != F.col("hub_label")) & (F.struct("hub_weight", "hub_turn", "hub") < F.struct("weight", "turn", "set_name")) & enough
+        if trace is not None:
+            trace.append(live.join(hubs, "bucket").count())
         pairs = live.join(hubs, "bucket").where(near).select(F.least("set_name", "hub").alias("a"), F.greatest("set_name", "hub").alias("b"))
         confirmed = _confirm(scratch.save(pairs.distinct(), "pairs"), texts, words, percent)
         labels = _united(labels, scratch.save(confirmed, "links"), scratch)
         sizes = scratch.save(labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "sizes")
         rest = live.join(hubs.select("bucket", F.col("hub").alias("set_name")), ["bucket", "set_name"], "left_anti")
-        live = scratch.save(_apart(rest, labels, sizes), "live")
+        live = scratch.save(_apart(rest, labels, sizes, percent), "live")
         if live.isEmpty():
             break
         if first:
             large = live.where(F.col("members") > STAR_GROWTH)
             dealt = _prefix_buckets(texts.join(large.select("set_name").distinct(), "set_name", "left_semi"), words, percent)
             both = live.where(F.col("members") <= STAR_GROWTH).select("set_name", "n", *_CELLS, "pos", "bucket").unionByName(scratch.save(dealt, "prefixes"))
-            live = scratch.save(_apart(both, labels, sizes), "live")
+            live = scratch.save(_apart(both, labels, sizes, percent), "live")
             scratch.drop("prefixes")
             if live.isEmpty():
                 break
@@ -249,13 +283,25 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32
     """The rows of docs, all their columns, of which one stays per component of near_duplicates; it has the component's smallest doc_id.
 
     Documents without words are in no component and all stay, but repeated rows of one
-    doc_id and text count as copies.
+    doc_id and text count as copies. Columns of any name come back as they were. Texts are
+    shuffled once; what decides is done on hashes.
     """
+    scratch = Scratch(docs.sparkSession, "keep-one")
     found = near_duplicates(docs, words, percent, bands, rows, with_keys=True).where("kept")
-    first = Window.partitionBy("component_key").orderBy("text_hash")
-    grouped = found.where(F.col("component_key").isNotNull()).withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    kept = grouped.select("doc_id", "text_hash").union(found.where(F.col("component_key").isNull()).select("doc_id", "text_hash")).distinct()
-    kept = kept.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
-    rows_ = docs.withColumn("__text", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")))
-    copies = Window.partitionBy("doc_id", "__text").orderBy("__text")
-    return rows_.withColumn("__nth", F.row_number().over(copies)).where("__nth = 1").select(*docs.columns)
+    named = F.struct("text_hash", "doc_id")
+    grouped = found.where(F.col("component_key").isNotNull()).groupBy("component_key").agg(F.min(named).alias("first")).select("first.doc_id", "first.text_hash")
+    every = grouped.union(found.where(F.col("component_key").isNull()).select("doc_id", "text_hash")).distinct()
+    copies = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    doc, hashed, n = (spare_name(docs.columns, c) for c in ("__doc", "__hash", "__n"))
+    kept = every.join(copies, every["doc_id"].eqNullSafe(copies["doc_id"]) & every["text_hash"].eqNullSafe(copies["text_hash"]))
+    kept = scratch.save(kept.select(every["doc_id"].alias(doc), every["text_hash"].alias(hashed), F.col("n").alias(n)), "kept")
+
+    def rows_of(wanted: DataFrame) -> DataFrame:
+        return docs.join(wanted.drop(n), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(hashed)))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows_of(kept.where(F.col(n) == 1)).select(*columns)
+    often = kept.where(F.col(n) > 1)
+    if often.isEmpty():
+        return once
+    return once.unionByName(rows_of(often).dropDuplicates([doc, hashed]).select(*columns))

@@ -112,6 +112,41 @@ def test_families_around_one_passage(spark):
     assert _near(docs, words=3, percent=85, bands=32, rows=7) == _components(rows, 3, 85)
 
 
+def _family(n, shared=100, own=10):
+    """Texts that share a passage but too little for a link: no pair of them is looked at after the first stars."""
+    return [(i, " ".join([f"p{k}" for k in range(shared)] + [f"f{i}x{k}" for k in range(own + (i % 3) * (own > 8))])) for i in range(n)]
+
+
+def test_compared_pairs_grow_with_the_family(spark):
+    joined = {}
+    for n in (400, 800, 1600):
+        rows = [*_family(n), (10**6, "a b c d"), (10**6 + 1, "a b c d")]
+        trace = []
+        found = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 32, 7, trace=trace).collect()
+        assert sum(r.component_id != r.doc_id for r in found) == 1
+        joined[n] = sum(trace)
+    assert joined[1600] < 2.5 * joined[800] < 6.25 * joined[400]
+
+
+def test_partner_cells_lose_no_pair():
+    """Any two sets that are alike enough meet in a bucket, whatever the order of shingles."""
+    rng = np.random.default_rng(8)
+    for percent in (80, 85):
+        for _ in range(300):
+            n = int(rng.integers(1, 200))
+            a = rng.permutation(1000)[:n]
+            b = np.unique(np.concatenate((rng.permutation(a)[: max(1, n - int(rng.integers(0, n // 6 + 2)))], 1000 + np.arange(rng.integers(0, n // 8 + 2)))))
+            common = len(np.intersect1d(a, b))
+            if 100 * common < percent * (len(a) + len(b) - common):
+                continue
+            order = rng.permutation(3000)
+            cells = []
+            for s in (a, b):
+                ranked = s[np.argsort(order[s])].astype(np.uint64)
+                cells.append(set(N.partner_cells(ranked[: len(s) + (-percent * len(s)) // 100 + 1], len(s), percent)[0].tolist()))
+            assert cells[0] & cells[1]
+
+
 def test_keep_one(spark, edge_docs):
     docs = table(spark, SMALL, "documents")
     kept = N.keep_one(docs)
