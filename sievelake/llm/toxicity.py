@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,8 @@ TRAIN_ROWS = 20_000
 CURVE_EVERY = 4
 #: Lengths, in words, of the passages that are compared beside the whole text: under the model of pairs, and under its last step.
 PAIR_PASSAGES, WORD_PASSAGES = (8,), (1, 2, 8, 32)
+#: Parts in which the model's tables come to the driver.
+PARTS = 8
 FEATURES = 2 + len(PAIR_PASSAGES) + len(WORD_PASSAGES)
 
 _WORD = re.compile(r"\w+")
@@ -108,29 +111,28 @@ def _kept(counts: np.ndarray, discounts: float | np.ndarray) -> np.ndarray:
     return np.maximum(counts - discounts, 0.0)
 
 
-@dataclass
-class ToxicityModel:
-    """Counts (ordinary, toxic) of pairs, contexts and words by hash, the discounts, and the curve from features to a score."""
-
-    pairs: HashTable | None = None  # N_c(u,w)
-    words: HashTable | None = None  # N_c(u), T_c(u), T(u), C_c(w)
-    pair_discounts: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    pooled_discount: float = 0.0
-    word_discount: float = 0.0
-    contexts: np.ndarray = field(default_factory=lambda: np.ones(2))  # C_c
-    types: np.ndarray = field(default_factory=lambda: np.ones(2))  # distinct words of each class
-    vocabulary: int = 0
-    unknown: float = 1.0  # e
-    curve: np.ndarray = field(default_factory=lambda: np.zeros(1 + FEATURES))
+@dataclass(frozen=True)
+class KneserNey:
+    """Counts (ordinary, toxic) of pairs, contexts and words by hash, and the discounts."""
+
+    pairs: HashTable  # N_c(u,w)
+    words: HashTable  # N_c(u), T_c(u), T(u), C_c(w)
+    pair_discounts: np.ndarray
+    pooled_discount: float
+    word_discount: float
+    contexts: np.ndarray  # C_c
+    types: np.ndarray  # distinct words of each class
+    vocabulary: int
+    unknown: float  # e
 
     @classmethod
-    def of_counts(cls, before: np.ndarray, word: np.ndarray, pairs: np.ndarray, names: np.ndarray, words: np.ndarray) -> ToxicityModel:
-        """From hashes and counts (n, 2) of distinct pairs, and hashes and counts (n, 7) of distinct words and contexts."""
+    def of_counts(cls, keys: np.ndarray, pairs: np.ndarray, names: np.ndarray, words: np.ndarray) -> KneserNey:
+        """From keys and counts (n, 2) of distinct pairs, and hashes and counts (n, 7) of distinct words and contexts."""
         of_word = words[:, 5:]
         known = of_word.sum(axis=1) > 0
         both = of_word[known].sum(axis=1)
         return cls(
-            HashTable(_pair_keys(before, word), pairs), HashTable(names, words),
+            HashTable(keys, pairs), HashTable(names, words),
             np.array([discount(pairs[:, c]) for c in (0, 1)]), discount(pairs.sum(axis=1)), discount(of_word.ravel()),
             of_word.sum(axis=0, dtype=np.float64), (of_word > 0).sum(axis=0).astype(np.float64), int(known.sum()), (int((both == 1).sum()) + 1) / (int(both.sum()) + 2),
         )
@@ -157,7 +159,7 @@ class ToxicityModel:
         """A row for each text: differences of log-likelihoods per word of the whole and of passages; zeros without words."""
         out = np.zeros((len(texts), FEATURES))
         hashes = [_hashes(t) for t in texts]
-        if self.pairs is None or not any(map(len, hashes)):
+        if not any(map(len, hashes)):
             return out
         by_pair, by_word = self.log_ratios(np.concatenate([_before(h) for h in hashes]), np.concatenate(hashes))
         stops = np.cumsum([len(h) for h in hashes])
@@ -166,9 +168,17 @@ class ToxicityModel:
                 row[:] = [*_compared(by_pair[stop - size : stop], PAIR_PASSAGES), *_compared(by_word[stop - size : stop], WORD_PASSAGES)]
         return out
 
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    """The counts, which go to each worker once, and the curve from features to a score; without counts the score is the same for all."""
+
+    counts: Broadcast | None
+    curve: np.ndarray
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        z = self.curve[0] + self.features(texts) @ self.curve[1:]
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+        found = self.counts.value.features(texts) if self.counts else np.zeros((len(texts), FEATURES))
+        return 1.0 / (1.0 + np.exp(-np.clip(self.curve[0] + found @ self.curve[1:], -500, 500)))
 
 
 def _compared(ratios: np.ndarray, passages: tuple[int, ...]) -> list[float]:
@@ -194,7 +204,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def _pair_rows(rows: DataFrame) -> DataFrame:
-    """(before, word, ordinary, toxic): how often each class has a pair of word hashes."""
+    """(key, before, word, ordinary, toxic): how often each class has a pair of word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +213,13 @@ def _pair_rows(rows: DataFrame) -> DataFrame:
             both = np.stack((np.concatenate([_before(h) for h in hashes]), np.concatenate(hashes))).astype(np.uint64)
             found, place = np.unique(both, axis=1, return_inverse=True)
             counts = [np.bincount(place.ravel()[mask], minlength=found.shape[1]) for mask in (~toxic, toxic)]
-            columns = [*(x.view(np.int64) for x in np.ascontiguousarray(found)), *counts]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["before", "word", "ordinary", "toxic"])
+            found = np.ascontiguousarray(found)
+            columns = [*(x.view(np.int64) for x in (_pair_keys(*found), *found)), *counts]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
-    counted = map_texts(rows.where(~F.col("curve")).select("text", "toxic"), run, "before long, word long, ordinary long, toxic long")
-    return counted.groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    names = ["key", "before", "word", "ordinary", "toxic"]
+    counted = map_texts(rows.where(~F.col("curve")).select("text", "toxic"), run, ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("key", "before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def _word_rows(pairs: DataFrame) -> DataFrame:
@@ -238,8 +250,13 @@ def _fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return np.concatenate(([beta[0] - slopes @ centre], slopes))
 
 
-def _counts(found: pa.Table, first: int) -> np.ndarray:
-    return np.column_stack([c.to_numpy().astype(np.int32) for c in found.columns[first:]])
+def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (first column) and counts (the others) of a table that the sample bounds, fetched in parts to keep the driver small."""
+    key, *counts = df.columns
+    narrow = df.select(key, *(F.col(c).cast("int") for c in counts))
+    parts = [narrow.where(F.pmod(F.col(key), F.lit(PARTS)) == i).toArrow() for i in range(PARTS)]
+    keys = np.concatenate([p.column(0).to_numpy() for p in parts]).view(np.uint64)
+    return keys, np.concatenate([np.column_stack([c.to_numpy() for c in p.columns[1:]]) for p in parts])
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
@@ -250,25 +267,23 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Toxicit
     seen = {bool(r.toxic): r["count"] for r in rows.where(~F.col("curve")).groupBy("toxic").count().collect()}
     if len(seen) < 2:
         scratch.drop("training")
-        return ToxicityModel(curve=np.array([500.0 if True in seen else -500.0] + [0.0] * FEATURES))
+        return ToxicityModel(None, np.array([500.0 if True in seen else -500.0] + [0.0] * FEATURES))
     pairs = scratch.save(_pair_rows(rows), "pairs")
-    p, w = pairs.toArrow(), _word_rows(pairs).toArrow()  # bounded by the sample
-    before, word, names = (x.to_numpy().view(np.uint64) for x in (p.column("before"), p.column("word"), w.column("name")))
-    model = ToxicityModel.of_counts(before, word, _counts(p, 2), names, _counts(w, 1))
-    shared = spark.sparkContext.broadcast(model)
+    words = scratch.save(_word_rows(pairs), "words")
+    shared = spark.sparkContext.broadcast(KneserNey.of_counts(*_collected(pairs.select("key", "ordinary", "toxic")), *_collected(words)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.features(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), batch.column(1)], names=[*names_, "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in found.T), batch.column(1)], names=[*names, "toxic"])
 
-    names_ = [f"f{i}" for i in range(FEATURES)]
-    seen = map_texts(rows.where("curve").select("text", "toxic"), features, ", ".join(f"{n} double" for n in names_) + ", toxic boolean").toArrow()
+    names = [f"f{i}" for i in range(FEATURES)]
+    seen = map_texts(rows.where("curve").select("text", "toxic"), features, ", ".join(f"{n} double" for n in names) + ", toxic boolean").toArrow()
+    curve = np.zeros(1 + FEATURES)
     if seen.num_rows:
-        model.curve = _fit_curve(np.column_stack([seen.column(n).to_numpy() for n in names_]), seen.column("toxic").to_numpy().astype(float))
-    shared.unpersist()
-    scratch.drop("training", "pairs")
-    return model
+        curve = _fit_curve(np.column_stack([seen.column(n).to_numpy() for n in names]), seen.column("toxic").to_numpy().astype(float))
+    scratch.drop("training", "pairs", "words")
+    return ToxicityModel(shared, curve)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -283,11 +298,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     rest = docs.drop("score", "predicted")
     at = rest.columns.index("text")
     names = [*rest.columns, "score", "predicted"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # loaded once per worker, not per task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.scores(batch.column(at).to_pylist())
+            scores = model.scores(batch.column(at).to_pylist())
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -576,7 +576,7 @@ def _kneser_ney(rows):
 
 def test_model_equals_plain_kneser_ney(spark):
     docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
-    model = train(docs, labels)
+    model = train(docs, labels).counts.value
     rows = [(r.text, int(r.toxic)) for r in T._training_rows(docs, labels, T.TRAIN_ROWS).where(~F.col("curve")).collect()]
     p, q, vocabulary = _kneser_ney(rows)
     for c in (0, 1):  # the last step is a distribution over known words and one for all others
@@ -612,7 +612,7 @@ def test_model_keeps_all_that_was_learnt(spark):
     rows += [(i, "rare grumble " * 3) for i in range(16, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 16)) for i, _ in rows], "doc_id long, toxic int")
-    model = train(docs, labels)
+    model = train(docs, labels).counts.value
     assert len(model.pairs.keys) > 305_000
     assert len(model.words.keys) > 100_000
     assert model.features(["rare grumble rare grumble"])[0, 0] > 0
