@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
-from typing import ClassVar
+from typing import Any, ClassVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -107,10 +107,35 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
-def map_texts(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow with this package on the workers, over portions small enough for long texts."""
+#: What a worker process keeps from task to task, for one operator at a time.
+_kept: dict[str, Any] = {}
+
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gave this worker under this name, kept until a task of another operator comes."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _forget() -> None:
+    _kept.clear()
+
+
+def map_texts(df: DataFrame, run: Callable, schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow with this package on the workers, over portions small enough for long texts.
+
+    Unless the operator itself keeps something in its workers, what another one kept there goes.
+    """
     ship_package(df.sparkSession)
-    return df.mapInArrow(lambda batches: run(_portions(batches)), schema)
+
+    def portioned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _forget()
+        yield from run(_portions(batches))
+
+    return df.mapInArrow(portioned, schema)
 
 
 def ship_package(spark: SparkSession) -> None:
