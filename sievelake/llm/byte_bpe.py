@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievelake.llm.pieces import PieceCache
-from sievelake.storage import map_texts
+from sievelake.storage import map_texts, worker_memory
 
 _NONE = np.int32(2**31 - 1)
 #: Cells of one padded matrix, and the longest row in one; longer pieces are merged by a heap.
@@ -197,15 +197,14 @@ class ByteBPE:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
-_loaded: dict[str, ByteBPE] = {}
-
-
 def load_ranks(path: str, pattern: str) -> ByteBPE:
     """The worker's encoder for a file of base64 tokens and ranks, kept from task to task."""
-    if path not in _loaded:
+
+    def load() -> ByteBPE:
         lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
-        _loaded[path] = ByteBPE({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
-    return _loaded[path]
+        return ByteBPE({base64.b64decode(token): int(rank) for token, rank in lines}, pattern)
+
+    return worker_memory(f"ranks of {path}", load)
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -235,4 +234,4 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [column.split()[0] for column in schema.split(", ")]
-    return map_texts(docs.select("doc_id", "text"), run, schema)
+    return map_texts(docs.select("doc_id", "text"), run, schema, keeps=True)

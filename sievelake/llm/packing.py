@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, capacity: int = 204
     more = ", ids array<int>" if with_ids else ""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long" + more
     names = [column.split()[0] for column in schema.split(", ")]
-    pieces = scratch.save(map_texts(docs.select("doc_id", "text"), tokenise, schema), "pieces")
+    pieces = scratch.save(map_texts(docs.select("doc_id", "text"), tokenise, schema, keeps=True), "pieces")
 
     per_task = scratch.save(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

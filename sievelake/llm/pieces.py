@@ -18,6 +18,8 @@ from itertools import chain, islice
 import numpy as np
 import regex
 
+from sievelake.storage import worker_memory
+
 #: Characters of texts encoded together, and pieces held at once of one very long text.
 CHUNK_CHARS, CHUNK_PIECES = 1_000_000, 250_000
 #: Distinct chunks a worker remembers; beyond it the memory starts anew, which costs time but changes nothing.
@@ -152,7 +154,6 @@ class PieceCache:
 
 #: Scripts whose letters and digits have long been settled in Unicode; only in texts within them is the pattern matched here.
 _SETTLED = regex.compile("[\\x00-\\u052f\\u2000-\\u206f\\u20ac\\u3040-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3]*")
-_encoders: dict[str, "LibraryEncoder"] = {}
 
 
 class LibraryEncoder:
@@ -197,6 +198,4 @@ class LibraryEncoder:
 
 def library_encoder(path: str, pattern: str) -> LibraryEncoder:
     """The worker's encoder for a tokenizer file, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path, pattern)
-    return _encoders[path]
+    return worker_memory(f"pieces of {path}", lambda: LibraryEncoder(path, pattern))

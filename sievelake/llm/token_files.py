@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, target: str, path: str, pattern: str, end
 
     types = [*[pa.int64()] * 6, pa.binary()]
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    segments = map_texts(ordered, run, ", ".join(f"{c} long" for c in _SEGMENT[:-1]) + ", data binary")
+    segments = map_texts(ordered, run, ", ".join(f"{c} long" for c in _SEGMENT[:-1]) + ", data binary", keeps=True)
     # Codes are compact already; uncompressed, without a dictionary, a segment's bytes lie in the file as they are.
     segments.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{target}/segments")
     _located(docs.sparkSession, target).drop("data").write.parquet(f"{target}/directory")
