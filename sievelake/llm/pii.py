@@ -189,12 +189,9 @@ def pieces_of(text: Column) -> Column:
 
     def of_line(line: Column) -> Column:
         def around(gap: Column, m: Column) -> Column:
-            person = m["kind"] == "person"
-            title = F.when(person, F.regexp_extract(m["written"], rf"^{TITLE}", 0)).otherwise("")
-            name = F.when(person, F.regexp_replace(m["written"], rf"^{TITLE}", "")).otherwise(F.coalesce(m["written"], F.lit("")))
-            return F.array(_piece(gap, "text"), _piece(title, "title"), _piece(name, F.when(person | (m["kind"] == "none"), "text").otherwise(m["kind"])))
+            return F.array(_piece(gap, "none"), F.coalesce(m, _piece(F.lit(""), "none")))
 
-        whole = F.array(_piece(line, "text"))
+        whole = F.array(_piece(line, "none"))
         return F.when(line.rlike(HINT), F.flatten(F.zip_with(F.split(line, MENTION, -1), mentions(line), around))).otherwise(whole)
 
     def of_names(parts: Column, names: Column) -> Column:
@@ -202,17 +199,22 @@ def pieces_of(text: Column) -> Column:
             return _piece(w, F.when(w.rlike(r"^\p{Lu}"), F.try_element_at(names, F.lower(w))))
 
         def cut(part: Column) -> Column:
-            words = F.transform(F.regexp_extract_all(part["written"], F.lit(_WORDS), F.lit(0)), word)
-            alone = F.array(_piece(part["written"], F.when(part["kind"].isin("text", "title"), None).otherwise(part["kind"])))
-            return F.when((part["kind"] == "text") & (F.size(names) > 0), words).otherwise(alone)
+            person, none = part["kind"] == "person", part["kind"] == "none"
+            title = F.when(person, F.regexp_extract(part["written"], rf"^{TITLE}", 0)).otherwise("")
+            name = F.substring(part["written"], F.length(title) + 1, F.length(part["written"]))
+            words = F.concat(F.array(_piece(title, None)), F.transform(F.regexp_extract_all(name, F.lit(_WORDS), F.lit(0)), word))
+            alone = F.array(_piece(part["written"], F.when(~none, part["kind"])))
+            return F.when((person | none) & (F.size(names) > 0), words).otherwise(alone)
 
         return F.filter(F.flatten(F.transform(parts, cut)), lambda p: p["written"] != "")
 
     # A line keeps the newline before it, so that the pieces make up the whole text.
     lines = F.transform(F.split(text, "\n", -1), lambda line, i: F.concat(F.when(i > 0, "\n").otherwise(""), line))
-    persons = F.filter(F.flatten(F.transform(F.filter(lines, lambda line: line.rlike(HINT)), mentions)), lambda m: m["kind"] == "person")
-    read = _let(F.struct(F.flatten(F.transform(lines, of_line)).alias("parts"), _names(persons).alias("names")), lambda x: of_names(x["parts"], x["names"]))
-    return F.when(text.rlike(HINT), read)
+
+    def read(parts: Column) -> Column:
+        return _let(_names(F.filter(parts, lambda p: p["kind"] == "person")), lambda names: of_names(parts, names))
+
+    return F.when(text.rlike(HINT), _let(F.flatten(F.transform(lines, of_line)), read))
 
 
 def entities_of(pieces: Column) -> Column:
@@ -253,15 +255,10 @@ def _reshaped(text: Column, draw: Column, hexadecimal: Column) -> Column:
     """Digits for digits and letters for letters, drawn by their number from the right; other characters stay."""
 
     def step(acc: Column, c: Column) -> Column:
-        byte = _byte(draw, acc["k"])
         span = F.when(hexadecimal, 6).otherwise(26)
-        low, high = c.rlike("[a-z]"), c.rlike("[A-Z]")
-        new = (
-            F.when(c.rlike("[0-9]"), (byte % 10).cast("string"))
-            .when(low, F.char(F.lit(97) + byte % span))
-            .when(high, F.char(F.lit(65) + byte % span))
-            .otherwise(c)
-        )
+        first = F.when(c.rlike("[a-z]"), 97).otherwise(65)
+        drawn = _let(_byte(draw, acc["k"]), lambda byte: F.when(c.rlike("[0-9]"), (byte % 10).cast("string")).otherwise(F.char(first + byte % span)))
+        new = F.when(c.rlike("[0-9A-Za-z]"), drawn).otherwise(c)
         moved = (c.rlike("[0-9A-Za-z]")).cast("int")
         return F.struct(F.concat(new, acc["out"]).alias("out"), (acc["k"] + moved).alias("k"))
 
@@ -303,14 +300,15 @@ def _name(word: Column, kind: Column, draw: Column, attempt: Column) -> Column:
         stock = stock.when((script == of) & (kind == "given_u"), F.split(F.lit(both), " "))
         syllables = syllables.when(script == of, F.split(F.lit(parts), " "))
     number = F.conv(F.substring(draw, 1, 6), 16, 10).cast("long")
+    # Names get longer where draws are often taken, so that there are always enough of them.
+    first, count = F.when(kind == "family", "").otherwise(_pick(stock, number)), F.when(kind == "family", 3).otherwise(0)
+    count = count + F.when(attempt > 3, 3).otherwise(0) + F.when(attempt > 9, 3).otherwise(0)
 
-    def sounds(first: int, count: int) -> Column:
-        return F.concat(*(_pick(syllables, _byte(draw, i)) for i in range(first, first + count)))
+    def sounded(syllables: Column) -> Column:
+        picked = F.transform(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: i <= count), lambda i: _pick(syllables, _byte(draw, i + 2)))
+        return F.concat(first, F.array_join(picked, ""))
 
-    # Names get longer where draws are often taken, so that there are always enough of them.
-    given = F.concat(_pick(stock, number), F.when(attempt > 3, sounds(3, 3)).otherwise(""), F.when(attempt > 9, sounds(6, 3)).otherwise(""))
-    family = F.concat(sounds(3, 3), F.when(attempt > 3, sounds(6, 2)).otherwise(""), F.when(attempt > 9, sounds(8, 3)).otherwise(""))
-    return _in_case_of(F.when(kind == "family", family).otherwise(given), word)
+    return _in_case_of(_let(syllables, sounded), word)
 
 
 def _address(written: Column, number: Column, name: Column) -> Column:

@@ -47,8 +47,8 @@ TRAIN_ROWS = 20_000
 CURVE_EVERY = 4
 #: Lengths, in words, of the passages that are compared beside the whole text: under the model of pairs, and under its last step.
 PAIR_PASSAGES, WORD_PASSAGES = (8,), (1, 2, 8, 32)
-#: Parts in which the model's tables come to the driver.
-PARTS = 8
+#: The model's tables come to the driver in parts by so many leading bits of their keys.
+PART_BITS = 4
 FEATURES = 2 + len(PAIR_PASSAGES) + len(WORD_PASSAGES)
 
 _WORD = re.compile(r"\w+")
@@ -78,9 +78,8 @@ class HashTable:
     """Rows of counts by 64-bit keys: sorted keys with a directory of their leading bits."""
 
     def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        order = np.argsort(keys)
-        # A last row of zeros stands for all keys that are not there.
-        self.keys, self.rows = keys[order], np.concatenate((rows[order], np.zeros((1, rows.shape[1]), rows.dtype)))
+        """keys ascend; a last row of zeros, for all keys that are not there, ends rows."""
+        self.keys, self.rows = keys, rows
 
     @cached_property
     def _directory(self) -> tuple[np.uint64, np.ndarray]:
@@ -127,13 +126,13 @@ class KneserNey:
 
     @classmethod
     def of_counts(cls, keys: np.ndarray, pairs: np.ndarray, names: np.ndarray, words: np.ndarray) -> KneserNey:
-        """From keys and counts (n, 2) of distinct pairs, and hashes and counts (n, 7) of distinct words and contexts."""
-        of_word = words[:, 5:]
+        """From the tables of keys and counts (2 each) of distinct pairs, and of hashes and counts (7 each) of distinct words and contexts."""
+        of_word = words[:-1, 5:]
         known = of_word.sum(axis=1) > 0
         both = of_word[known].sum(axis=1)
         return cls(
             HashTable(keys, pairs), HashTable(names, words),
-            np.array([discount(pairs[:, c]) for c in (0, 1)]), discount(pairs.sum(axis=1)), discount(of_word.ravel()),
+            np.array([discount(pairs[:, c]) for c in (0, 1)]), discount(pairs.sum(axis=1)), discount(of_word.ravel()),  # the row of zeros counts for none
             of_word.sum(axis=0, dtype=np.float64), (of_word > 0).sum(axis=0).astype(np.float64), int(known.sum()), (int((both == 1).sum()) + 1) / (int(both.sum()) + 2),
         )
 
@@ -251,12 +250,20 @@ def _fit_curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (first column) and counts (the others) of a table that the sample bounds, fetched in parts to keep the driver small."""
+    """Ascending keys (first column) and counts (the others, and a row of zeros) of a table that the sample bounds, fetched in parts to keep the driver small."""
     key, *counts = df.columns
     narrow = df.select(key, *(F.col(c).cast("int") for c in counts))
-    parts = [narrow.where(F.pmod(F.col(key), F.lit(PARTS)) == i).toArrow() for i in range(PARTS)]
-    keys = np.concatenate([p.column(0).to_numpy() for p in parts]).view(np.uint64)
-    return keys, np.concatenate([np.column_stack([c.to_numpy() for c in p.columns[1:]]) for p in parts])
+    total, at = narrow.count(), 0
+    keys, rows = np.empty(total, np.uint64), np.zeros((total + 1, len(counts)), np.int32)
+    for i in range(1 << PART_BITS):  # by the leading bits, so that the parts follow each other in order
+        part = narrow.where(F.shiftrightunsigned(F.col(key), 64 - PART_BITS) == i).toArrow()
+        found = part.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(found)
+        keys[at : at + len(found)] = found[order]
+        for c, column in enumerate(part.columns[1:]):
+            rows[at : at + len(found), c] = column.to_numpy()[order]
+        at += len(found)
+    return keys, rows
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> ToxicityModel:
