@@ -197,10 +197,9 @@ def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int)
     named = cells.select("set_name", "n", *_CELLS, "pos", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
     named = named.join(sizes, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     named = named.withColumn("label", F.coalesce("component", "set_name")).drop("component")
-    smallest = cells.groupBy("bucket").agg(F.min("n").alias("least_n"))
-    named = named.join(smallest, "bucket").where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
-    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
-    return named.join(spread.where(F.col("low") != F.col("high")).select("bucket", "members"), "bucket")
+    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"))
+    open_ = named.join(spread.where(F.col("low") != F.col("high")).select("bucket", "members", "least_n"), "bucket")
+    return open_.where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, with_keys: bool = False, trace: list | None = None) -> DataFrame:

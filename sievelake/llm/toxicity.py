@@ -48,7 +48,7 @@ CURVE_EVERY = 4
 #: Lengths, in words, of the passages that are compared beside the whole text: under the model of pairs, and under its last step.
 PAIR_PASSAGES, WORD_PASSAGES = (8,), (1, 2, 8, 32)
 #: The model's tables come to the driver in parts by so many leading bits of their keys.
-PART_BITS = 4
+PART_BITS = 2
 FEATURES = 2 + len(PAIR_PASSAGES) + len(WORD_PASSAGES)
 
 _WORD = re.compile(r"\w+")
