@@ -5,38 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievelake.functions.tables import KEYWORD_TAGS
+
 WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"[\s\u0085   -     　\x1c-\x1f]"
 
-# --- Fixed values: keyword -> tags, and tags too common to be a hint ---
-KEYWORD_TAGS = {
-    "sql injection": ["sqli", "sql_injection"],
-    "sqli": ["sqli", "sql_injection"],
-    "xss": ["xss"],
-    "cross-site": ["xss"],
-    "buffer overflow": ["buffer_overflow", "pwn"],
-    "rop": ["buffer_overflow", "rop"],
-    "format string": ["format_string", "pwn"],
-    "reverse engineering": ["reverse_engineering", "rev"],
-    "cryptography": ["crypto"],
-    "rsa": ["crypto", "rsa_attacks"],
-    "aes": ["crypto"],
-    "steganography": ["stegano"],
-    "forensic": ["forensics"],
-    "shellcode": ["shellcode", "pwn"],
-    "sandbox escape": ["sandbox_escape", "jail"],
-    "command injection": ["command_injection", "web"],
-    "lfi": ["lfi", "file_inclusion"],
-    "ssrf": ["ssrf", "web"],
-    "deserialization": ["deserialization", "insecure_deserialization"],
-    "template injection": ["ssti", "server_side_template_injection"],
-    "xxe": ["xxe", "xml_external_entity"],
-    "csrf": ["csrf", "web"],
-    "jwt": ["jwt", "web"],
-    "race condition": ["race_condition", "web"],
-    "side channel": ["side_channel", "timing_attack"],
-    "padding oracle": ["padding_oracle", "crypto"],
-}
+# --- Fixed values: tags too common to be a hint, acronyms, opposites ---
 NOISY_TAGS = [
     "c", "c++", "sh", "shell", "web", "exploit", "python", "rev", "c#", "go", "rust", "lua", "java", "php", "perl", "ruby",
     "game", "aws", "cloud", "gcp", "azure", "docker", "k8s", "windows", "linux", "mobile", "x86", "x64", "arm", "mips",
@@ -67,15 +41,15 @@ def normalise(text: Column) -> Column:
     return text
 
 
-def drop_noise_lines(text: Column) -> Column:
-    """Without lines that are rules or bare URLs; blank lines closed up, ends stripped."""
+#: White space of Python's str.strip but for the newline, which ends a line.
+_INNER = _SPACE[:-1].replace(r"\s", r"\t\x0b\f\r ") + "]"
+#: A line that is a rule or a bare URL, with the newline before it.
+_NOISE = rf"(?:(?<![^\n])|\n){_INNER}*(?:[-_*](?:[\s&&[^\n]]|[-_*])+[-_*]|https?://[^\s]+){_INNER}*(?=\n|\z)"
 
-    def keep(line: Column) -> Column:
-        bare = strip(line)
-        return ~(bare.isin("---", "***", "___") | bare.rlike(r"^[\s\-_*]{3,}$") | bare.rlike(r"^https?://\S+$"))
 
-    joined = F.array_join(F.filter(F.split(text, "\n", -1), keep), "\n")
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+def drop_noise_lines(text: Column) -> Column:
+    """Without lines that are rules or bare URLs; blank lines closed up, ends stripped. One pass over the whole text."""
+    return strip(F.regexp_replace(F.regexp_replace(text, _NOISE, ""), r"\n{3,}", "\n\n"))
 
 
 def clean_text(text: Column) -> Column:

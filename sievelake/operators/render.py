@@ -5,27 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelake.functions.tables import CATEGORIES
 from sievelake.functions.text import strip, title_case
 from sievelake.operators.cluster import primary_category
 
-# --- Fixed values: techniques of a fixed category, by category ---
-CATEGORIES = {
-    "web": "sql_injection xss server_side_template_injection command_injection path_traversal ssrf xxe insecure_deserialization type_juggling jwt "
-    "prototype_pollution race_condition http_smuggling nosql_injection ldap_injection file_upload open_redirect clickjacking oauth cors csrf graphql websocket php",
-    "pwn": "buffer_overflow heap_exploitation format_string shellcode pwn fuzzing browser kernel windows linux",
-    "rev": "reverse_engineering symbolic_execution",
-    "crypto": "crypto rsa_attacks padding_oracle timing_attack xor_cipher hash_length_extension",
-    "forensics": "stegano forensics memory_forensics pcap_analysis",
-    "osint": "osint",
-    "cloud": "cloud",
-    "mobile": "mobile",
-    "misc": "sandbox_escape misc docker kubernetes",
-}
-# --- End of fixed values ---
-
 
 def fixed_categories(spark) -> DataFrame:
-    return spark.createDataFrame([(t, c) for c, names in CATEGORIES.items() for t in names.split()], "technique string, category string")
+    return spark.createDataFrame(list(CATEGORIES.items()), "technique string, category string")
 
 
 def _block(label: str, body: Column, present: Column) -> Column:
