@@ -13,13 +13,13 @@ TERM = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
 
-def terms(text: Column, lowercase: bool = False) -> Column:
-    return F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(TERM), F.lit(0))
+def terms(text: Column, lowercase: bool = False, pattern: str = TERM) -> Column:
+    return F.regexp_extract_all(F.lower(text) if lowercase else text, F.lit(pattern), F.lit(0))
 
 
-def build_postings(docs: DataFrame, lowercase: bool = False) -> DataFrame:
+def build_postings(docs: DataFrame, lowercase: bool = False, pattern: str = TERM) -> DataFrame:
     """(term, doc_id, tf, dl) of docs (doc_id, text): the inverted index, to be written partitioned by a hash of the term."""
-    tokenised = docs.select("doc_id", terms(F.col("text"), lowercase).alias("t")).withColumn("dl", F.size("t"))
+    tokenised = docs.select("doc_id", terms(F.col("text"), lowercase, pattern).alias("t")).withColumn("dl", F.size("t"))
     return tokenised.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -31,12 +31,12 @@ def _bm25(tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column
 def bm25_scores(docs: DataFrame, query: DataFrame, lowercase: bool = False) -> DataFrame:
     """(doc_id, score > 0) of docs (doc_id, text) for the one text in query (text).
 
-    Only occurrences of the query's terms are exploded, so a scan without an index
-    shuffles no more than the hits; the query's terms and three corpus totals are broadcast.
+    For a corpus without an index: the texts are read once for the totals and once for the
+    hits, which alone are shuffled; the query's terms and three corpus totals are broadcast.
     """
     asked = F.broadcast(query.select(F.explode(F.array_distinct(terms(F.col("text"), lowercase))).alias("term")))
     tokenised = docs.select("doc_id", terms(F.col("text"), lowercase).alias("t")).withColumn("dl", F.size("t"))
-    totals = tokenised.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))  # one row
+    totals = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count("text", F.lit(TERM))).alias("mean"))  # one row
     hits = tokenised.select("doc_id", "dl", F.explode("t").alias("term")).join(asked, "term")
     tf = hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most the query's terms
@@ -76,6 +76,18 @@ def coarse_search(records: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return scored.where("score > 0").orderBy(F.desc("score"), "pos").limit(max(1, min(limit, 100)))
 
 
+def coarse_from_index(titles: DataFrame, postings: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """coarse_search by an index of the contents' words: titles (pos, title), postings (term, doc_id) of small letters, doc_id being pos."""
+    whole = query.lower().strip()
+    tokens = word_set(F.lit(query))
+    held = postings.groupBy(F.col("doc_id").alias("pos")).agg(F.collect_set("term").alias("held"))  # at most the query's words
+    in_title = F.array_intersect(tokens, word_set(F.col("title")))
+    elsewhere = F.array_except(F.coalesce("held", F.array().cast("array<string>")), in_title)
+    bonus = F.when(F.lower("title").contains(whole), 5).otherwise(0) if whole else F.lit(0)
+    scored = titles.join(held, "pos", "left").withColumn("score", (3 * F.size(in_title) + F.size(elsewhere) + bonus).cast("double"))
+    return scored.drop("held").where("score > 0").orderBy(F.desc("score"), "pos").limit(max(1, min(limit, 100)))
+
+
 def vector_topk(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(id, similarity): the k vectors (id, embedding) nearest to the one vector in query (q) by cosine, exactly."""
     one = F.broadcast(query.select("q").limit(1))
@@ -101,13 +113,14 @@ def blend(reranked: DataFrame, boosts: DataFrame, weight: float = SETTINGS.boost
 
 def hybrid_search(
     chunks: DataFrame, query: DataFrame, questions: DataFrame | None, query_vector: DataFrame | None, reranker: Reranker | None = None,
-    recall_k: int = SETTINGS.recall_k, top_k: int = SETTINGS.top_k,
+    recall_k: int = SETTINGS.recall_k, top_k: int = SETTINGS.top_k, scores: DataFrame | None = None,
 ) -> DataFrame:
     """BM25 recall, rerank of the recall only, boost by questions, blend. chunks (doc_id, technique, text), query (text).
 
-    Without questions or a query vector no technique is boosted.
+    Without questions or a query vector no technique is boosted. scores (doc_id, score) are
+    those of a stored index, if there is one.
     """
-    recalled = bm25_topk(chunks.select("doc_id", "text"), query, recall_k)
+    recalled = bm25_topk(chunks.select("doc_id", "text"), query, recall_k) if scores is None else scores.orderBy(F.desc("score"), "doc_id").limit(recall_k)
     recalled = recalled.withColumn("recall_rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # at most recall_k rows
     candidates = chunks.join(F.broadcast(recalled), "doc_id").withColumnRenamed("score", "bm25_score")
     reranked = (reranker or OverlapReranker()).rerank(candidates, query)

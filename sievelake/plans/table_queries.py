@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievelake.functions.text import WORD
 from sievelake.operators import relational as R
 from sievelake.operators import search as S
 from sievelake.operators.cluster import primary_category
 from sievelake.operators.components import connected_components
 from sievelake.operators.incremental import chunk_changes, numbered_questions, upsert
 from sievelake.operators.similarity import bag_jaccard, vector_decisions
+from sievelake.sources.state import of_terms, read_totals, write_index
 from sievelake.storage import Scratch, table
 from sievelake.streaming.ingest import progress
 
@@ -119,8 +121,29 @@ def _chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
 
+_indexes: dict[tuple, tuple] = {}
+
+
+def _index(spark, sf, lowercase=False, pattern=S.TERM):
+    """Postings, with their part, and totals of the documents' index, written when a session first asks for it."""
+    name = (spark.sparkContext.applicationId, sf, lowercase, pattern)
+    if name not in _indexes:
+        path = Scratch(spark, "index").path("postings")
+        write_index(_chunks(spark, sf), path, lowercase, pattern)
+        _indexes[name] = (spark.read.parquet(path), read_totals(spark, path).first())
+    return _indexes[name]
+
+
+def _scores(spark, sf):
+    """BM25 scores of the question's documents, from the index; its words are those of one text."""
+    asked = _question(spark, sf).select(F.array_distinct(S.terms(F.col("text")))).first()
+    (postings, totals), words = _index(spark, sf), asked[0] if asked else []
+    one = spark.sql("SELECT 1").select(F.lit(totals.n).cast("long").alias("n"), F.lit(totals["mean"]).cast("double").alias("mean"))
+    return S.bm25_from_index(of_terms(postings, words), one, words)
+
+
 def bm25_topk(spark, sf):
-    return S.bm25_topk(_chunks(spark, sf), _question(spark, sf), 10)
+    return _scores(spark, sf).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 def bm25_scores(spark, sf):
@@ -132,6 +155,14 @@ def bm25_index(spark, sf):
 
 
 def coarse_search(spark, sf):
+    docs = table(spark, sf, "documents")
+    titles = docs.select(F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"))
+    asked = "the Apache license"
+    postings, _ = _index(spark, sf, lowercase=True, pattern=WORD)
+    return S.coarse_from_index(titles, of_terms(postings, asked.lower().split()), asked, 20).select("pos", "score")
+
+
+def coarse_scan(spark, sf):
     docs = table(spark, sf, "documents")
     records = docs.select(F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
     return S.coarse_search(records, "the Apache license", 20).select("pos", "score")
@@ -155,7 +186,7 @@ def question_boost(spark, sf):
 
 def hybrid_search(spark, sf):
     chunks = table(spark, sf, "documents").select("doc_id", F.col("source").alias("technique"), "text")
-    found = S.hybrid_search(chunks, _question(spark, sf), _vectors(spark, sf), _query_vector(spark, sf))
+    found = S.hybrid_search(chunks, _question(spark, sf), _vectors(spark, sf), _query_vector(spark, sf), scores=_scores(spark, sf))
     return found.select("rank", "doc_id", "bm25_score", "rerank_score", "boost", "final_score")
 
 
@@ -176,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gap_report, corpus_merge, corpus_merge_report, inverted_index, url_lookup, writeup_search, trick_sources, check_report, category_mode,
-        component_labels, incremental_changes, chunk_upsert, question_ids, event_progress, bm25_topk, bm25_scores, bm25_index, coarse_search,
+        component_labels, incremental_changes, chunk_upsert, question_ids, event_progress, bm25_topk, bm25_scores, bm25_index, coarse_search, coarse_scan,
         vector_topk, question_boost, hybrid_search, vector_tiers, content_bags,
     )
 }
@@ -297,3 +328,4 @@ ORACLE_SQL = {
         FROM p LEFT JOIN size sa ON sa.id = a LEFT JOIN size sb ON sb.id = b LEFT JOIN both_of USING (a, b)
     """,
 }
+ORACLE_SQL["coarse_scan"] = ORACLE_SQL["coarse_search"]

@@ -82,8 +82,13 @@ def chunk_documents(spark, sf):
     return chunk_files(_files(spark, sf))
 
 
+def _headed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files, every line a section."""
+    return _docs(spark, sf).select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("# "), "source", F.lit("\n\n## "), F.replace("text", F.lit("\n"), F.lit("\n## "))).alias("content"))
+
+
 def document_sections(spark, sf):
-    return trick_sections(_files(spark, sf)).select("technique", "n", "title")
+    return trick_sections(_headed_files(spark, sf)).select("technique", "n", "title")
 
 
 def file_stats(spark, sf):
@@ -165,7 +170,7 @@ ORACLE_SQL = {
     """,
     "ingest_progress": "SELECT event_type, round(count(*) / (SELECT count(*) FROM events) * 100, 1) AS percent FROM events GROUP BY event_type",
     "document_sections": r"""
-        WITH s AS (SELECT doc_id::VARCHAR AS technique, string_split(text, chr(10) || '## ') AS p FROM documents),
+        WITH s AS (SELECT doc_id::VARCHAR AS technique, string_split('# ' || source || chr(10) || chr(10) || '## ' || replace(text, chr(10), chr(10) || '## '), chr(10) || '## ') AS p FROM documents),
              e AS (SELECT technique, unnest(p) AS part, (generate_subscripts(p, 1) - 1)::INT AS n FROM s),
              r AS (SELECT technique, n, CASE WHEN n > 0 THEN '## ' || part ELSE part END AS section FROM e)
         SELECT technique, n, trim(substr(string_split(section, chr(10))[1], 4)) AS title FROM r WHERE starts_with(section, '## ')

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelake.operators.search import build_postings
+from sievelake.operators.search import TERM, build_postings, terms
 from sievelake.sources.files import path_exists, snapshot
 
 BATCH_STATE = "batch_id long, status string, unresolved_urls array<string>, updated_at timestamp"
@@ -20,10 +20,12 @@ def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A state table; a missing or unreadable one is a fresh start."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(path)
     try:
-        return spark.read.schema(schema).parquet(path)
+        found.limit(1).collect()  # a read is lazy: only this tells whether the files can be read
     except Exception:
         return spark.createDataFrame([], schema)
+    return found
 
 
 def record_batches(done: DataFrame, path: str) -> None:
@@ -41,17 +43,29 @@ def reset_state(spark: SparkSession, path: str, schema: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
-def write_index(docs: DataFrame, path: str, lowercase: bool = False) -> None:
-    """Replace the inverted index of docs (doc_id, text); postings lie in files by hash of their term, sorted by it."""
-    _laid_out(build_postings(docs, lowercase)).write.mode("overwrite").partitionBy("part").parquet(path)
+def write_index(docs: DataFrame, path: str, lowercase: bool = False, pattern: str = TERM) -> None:
+    """Replace the inverted index of docs (doc_id, text); postings lie in files by hash of their term, sorted by it, the totals beside them."""
+    _laid_out(build_postings(docs, lowercase, pattern)).write.mode("overwrite").partitionBy("part").parquet(path)
+    _totals(docs, lowercase, pattern).write.mode("overwrite").parquet(f"{path}.totals")
+
+
+def _totals(docs: DataFrame, lowercase: bool, pattern: str) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(terms(F.col("text"), lowercase, pattern))), F.lit(0)).alias("total"))
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row (n, mean): documents of the index and their mean length."""
+    return spark.read.parquet(f"{path}.totals").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def add_to_index(docs: DataFrame, path: str, lowercase: bool = False) -> None:
-    """Append the postings of documents that are not in the index yet; corpus totals follow from the postings."""
+    """Append the postings, and the totals, of documents that are not in the index yet."""
     spark = docs.sparkSession
     known = spark.read.parquet(path).select("doc_id").distinct()
     new = docs.join(known, "doc_id", "left_anti")
+    totals = _totals(new, lowercase, TERM).collect()  # before the postings are there
     _laid_out(build_postings(new, lowercase)).write.mode("append").partitionBy("part").parquet(path)
+    spark.createDataFrame(totals, "n long, total long").write.mode("append").parquet(f"{path}.totals")
 
 
 def _laid_out(postings: DataFrame) -> DataFrame:
@@ -62,10 +76,13 @@ def _laid_out(postings: DataFrame) -> DataFrame:
 def read_index(spark: SparkSession, path: str, query_terms: list[str] | None = None) -> DataFrame:
     """The postings, or those of the query's terms: the parts they hash to are pruned, the term filter reaches the files."""
     postings = spark.read.parquet(path)
-    if query_terms is None:
-        return postings.drop("part")
-    parts = spark.createDataFrame([(t,) for t in query_terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(INDEX_PARTS)).cast("int").alias("p"))
-    wanted = sorted({r.p for r in parts.collect()})  # at most INDEX_PARTS
+    return postings.drop("part") if query_terms is None else of_terms(postings, query_terms)
+
+
+def of_terms(postings: DataFrame, query_terms: list[str]) -> DataFrame:
+    """The postings (with their part) of some terms; their parts are constants that the driver folds, without a job."""
+    parts = [F.pmod(F.xxhash64(F.lit(t)), F.lit(INDEX_PARTS)).cast("int") for t in query_terms]
+    wanted = sorted(set(postings.sparkSession.sql("SELECT 1").select(F.array(*parts).cast("array<int>")).first()[0]))  # at most INDEX_PARTS
     return postings.where(F.col("part").isin(wanted) & F.col("term").isin(query_terms)).drop("part")
 
 

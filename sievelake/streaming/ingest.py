@@ -11,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from sievelake.config import SETTINGS
 from sievelake.functions.html import clean_html
 from sievelake.functions.text import infer_title, worthwhile
-from sievelake.sources.files import append_and_rebuild
 
 
 def cleaned_pages(pages: DataFrame, least: int = SETTINGS.ingest_min_length) -> DataFrame:
@@ -26,24 +25,23 @@ def new_urls_only(pages: DataFrame, time: str = "ts", late: str = "7 days") -> D
     return pages.withWatermark(time, late).dropDuplicatesWithinWatermark(["url"])
 
 
+def _replace(rows: DataFrame, path: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch_number={number}")
+
+
 def start_ingest(pages: DataFrame, accumulator: str, consolidated: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Append each micro-batch of a page stream and rebuild the consolidated table from all of it; a repeated batch changes nothing.
+    """Write each micro-batch of a page stream as a partition of its own, to the accumulator and from there to the consolidated table.
 
-    The batch's number is kept with its rows, and a batch whose number is already there is
-    skipped, so that a restart after a failure between append and commit adds nothing twice.
+    A batch overwrites only its own partitions (batch_number=n), so that running it again
+    after a failure at any step gives the same tables, and what it costs does not grow with
+    what was there before. Every row of the accumulator is in the consolidated table.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = (extract or cleaned_pages)(batch).drop("html").withColumn("batch_number", F.lit(number).cast("long"))
-        try:
-            done = not spark.read.parquet(accumulator).where(F.col("batch_number") == number).isEmpty()
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = False
-        if not done:
-            append_and_rebuild(rows, accumulator, consolidated)
+        rows = (extract or cleaned_pages)(batch).drop("html")
+        _replace(rows, accumulator, number)
+        _replace(spark.read.schema(rows.schema).parquet(f"{accumulator}/batch_number={number}"), consolidated, number)
 
     return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sievelake import models, schemas
@@ -15,6 +16,7 @@ from sievelake.operators.relational import fill_gaps, merge_corpora
 from sievelake.operators.search import build_postings, bm25_from_index, bm25_scores, corpus_stats, terms
 from sievelake.sources import files as S
 from sievelake.storage import Scratch
+from sievelake.streaming import ingest
 from sievelake.streaming.ingest import cleaned_pages, new_urls_only, start_ingest
 
 
@@ -217,6 +219,31 @@ def test_stream(spark, tmp_path):
     assert new_urls_only(timed).isStreaming
 
 
+@pytest.mark.parametrize("step", [1, 2, 4])
+def test_stream_after_a_failure(spark, tmp_path, monkeypatch, step):
+    """The write of either table fails once, in the first or second batch; the next run gives all rows, none twice."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.repartition(2).write.parquet(f"file://{tmp_path}/in")
+    out = [f"file://{tmp_path}/{n}" for n in ("acc", "all", "chk")]
+    write, calls = ingest._replace, []
+
+    def failing(rows, path, number):
+        calls.append(path)
+        if len(calls) == step:
+            raise RuntimeError("lost")
+        write(rows, path, number)
+
+    monkeypatch.setattr(ingest, "_replace", failing)
+    for _ in range(2):
+        query = start_ingest(spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in"), *out)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            assert len(calls) == step
+    want = sorted(r.url for r in cleaned_pages(pages).collect())
+    assert [sorted(r.url for r in spark.read.parquet(path).collect()) for path in out[:2]] == [want, want]
+
+
 def _ratio(a, b):
     last = [0] * (len(b) + 1)
     for x in a:
