@@ -1,8 +1,8 @@
-"""Queries of the record operators: small literal records, since no driver table has technique names."""
+"""Queries of the record operators: over tables with mapped columns, some over small literal records, since no driver table has technique names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import token_estimate
@@ -33,11 +33,19 @@ def _tricks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_ROWS, _TRICK)
 
 
+def _document_tricks(spark, sf):
+    """Documents as records: source as technique, first line as title, text as description, language and source as step and code."""
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("technique"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"),
+        F.array("lang").alias("implementation_steps"), F.col("source").alias("key_code"),
+    )
+
+
 def trick_similarity(spark, sf):
-    t = M.with_tokens(_tricks(spark))
+    t = M.with_tokens(_document_tricks(spark, sf))
     a, b = t.select(F.col("id").alias("a"), F.col("tok").alias("x")), t.select(F.col("id").alias("b"), F.col("tok").alias("y"))
     pairs = a.join(b, F.col("a") + 1 == F.col("b"))
-    return pairs.select("a", "b", F.round(M.trick_similarity(F.col("x"), F.col("y")), 6).alias("similarity"), M.is_duplicate(F.col("x"), F.col("y")).alias("duplicate"))
+    return pairs.select("a", "b", F.round(M.trick_similarity(F.col("x"), F.col("y")), 9).alias("similarity"), M.is_duplicate(F.col("x"), F.col("y")).alias("duplicate"))
 
 
 def lexical_clusters(spark, sf):
@@ -66,8 +74,11 @@ def cluster_merge(spark, sf):
 
 
 def group_routing(spark, sf):
-    comps = spark.createDataFrame([(3, 3), (4, 3), (7, 3), (1, 1), (2, 1)], "node long, component long")
-    return routed_groups(_tricks(spark).select("id", "technique", "confidence"), comps)
+    """Suppliers of every second nation are one component, named after the least of them; the others stand alone."""
+    s = table(spark, sf, "supplier")
+    even = s.where("s_nationkey % 2 = 0")
+    comps = even.join(even.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("component")), "s_nationkey").select(F.col("s_suppkey").alias("node"), "component")
+    return routed_groups(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("technique"), F.col("s_acctbal").cast("double").alias("confidence")), comps)
 
 
 def technique_name_pairs(spark, sf):
@@ -77,8 +88,7 @@ def technique_name_pairs(spark, sf):
 
 
 def technique_content_pairs(spark, sf):
-    rows = [("type_juggling", "loose compare"), ("type_juggling", "Magic hash"), ("php_juggling", "compare loose"), ("php_juggling", "magic hash"), ("xss", "magic hash"), ("xss", "!!")]
-    return M.content_pairs(spark.createDataFrame(rows, "technique string, title string"))
+    return M.content_pairs(_document_tricks(spark, sf).select("technique", "title"))
 
 
 def canonical_names(spark, sf):
@@ -94,21 +104,30 @@ def fuzzy_names(spark, sf):
 
 
 def merged_mapping(spark, sf):
-    groups = spark.createDataFrame([("a_long_name", 3, False), ("a_name", 3, False), ("b_name", 1, True), ("c_name", 9, False)], "name string, count long, is_canonical boolean")
-    accepted = spark.createDataFrame([("a_long_name", "a_name"), ("a_name", "b_name")], "a string, b string")
+    """Nations as groups with their suppliers as records; those of one region whose numbers follow each other are accepted pairs."""
+    n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    counts = s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("count"))
+    groups = n.join(counts, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("name"), F.coalesce("count", F.lit(0)).alias("count"), (F.col("n_nationkey") % 7 == 0).alias("is_canonical"))
+    nexts = F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))  # 25 rows
+    accepted = n.select(F.col("n_name").alias("a"), nexts.alias("b")).where("b is not null")
     return C.merged_mapping(groups, accepted, Scratch(spark, "merged-mapping"))
 
 
 def source_positions(spark, sf):
-    batches = spark.createDataFrame([(1, ["u1", "u2", "u3"])], "batch_id long, urls array<string>")
-    rows = [(1, 1, [1, 3]), (2, 1, [2]), (3, 1, None), (4, 1, [99]), (5, 1, [0, -1, 2])]
-    found = positions_to_urls(spark.createDataFrame(rows, "record_id long, batch_id long, source_indexes array<int>"), batches)
-    return found.select("record_id", F.array_join("source_writeups", ",").alias("sources"))
+    """Lines of an order as records, the order's two pages as its sources; a line without positions has them all."""
+    lines, page = table(spark, sf, "lineitem"), F.concat(F.lit("/o/"), F.col("o_orderkey").cast("string"), F.lit("/"))
+    batches = table(spark, sf, "orders").select(F.col("o_orderkey").alias("batch_id"), F.array(F.concat(page, F.lit("a")), F.concat(page, F.lit("b"))).alias("urls"))
+    number = F.col("l_linenumber").cast("int")
+    records = lines.select(
+        (F.col("l_orderkey") * 10 + number).alias("record_id"), F.col("l_orderkey").alias("batch_id"), F.when(number != 5, F.array(number, number - 2)).alias("source_indexes")
+    )
+    return positions_to_urls(records, batches).select("record_id", F.array_join("source_writeups", ",").alias("sources"))
 
 
 def source_removal(spark, sf):
-    found = remove_source(_tricks(spark), "u1")
-    return found.select("id", F.array_join("source_writeups", ",").alias("sources"))
+    lines = table(spark, sf, "lineitem")
+    rows = lines.select("l_orderkey", "l_linenumber", F.array_distinct(F.array("l_returnflag", "l_linestatus")).alias("source_writeups"))
+    return remove_source(rows, "O").select("l_orderkey", "l_linenumber", F.array_join("source_writeups", ",").alias("sources"))
 
 
 def _records(spark: SparkSession) -> DataFrame:
@@ -146,8 +165,10 @@ def extracted_records(spark, sf):
 
 
 def alias_persistence(spark, sf):
-    mapping = spark.createDataFrame([("a", "b"), ("b", "b"), ("c", "d"), ("e", "f")], "old string, merged string")
-    return C.new_aliases(mapping, spark.createDataFrame([("c",)], "alias string"))
+    d = table(spark, sf, "documents")
+    mapping = d.select(F.concat("source", F.lit("_"), "lang").alias("old"), F.concat("source", F.lit("_en")).alias("merged")).distinct()
+    curated = d.where("lang = 'de'").select(F.concat("source", F.lit("_"), "lang").alias("alias")).distinct()
+    return C.new_aliases(mapping, curated)
 
 
 def batches_to_resume(spark, sf):
@@ -192,6 +213,10 @@ _TOKENS = f"""
     tok AS (SELECT *, {_WORDS.format('title')} AS tt, {_WORDS.format('description')} AS td, {_WORDS.format("array_to_string(steps, ' ')")} AS ts, {_WORDS.format('code')} AS tc FROM tricks),
     sized AS (SELECT *, len(tt) + len(td) + len(ts) + len(tc) AS total FROM tok)
 """
+_DOCUMENT_TOKENS = f"""
+    tok AS (SELECT doc_id AS id, source AS technique, {_WORDS.format("string_split(text, chr(10))[1]")} AS tt, {_WORDS.format('text')} AS td, {_WORDS.format('lang')} AS ts, {_WORDS.format('source')} AS tc FROM documents),
+    sized AS (SELECT *, len(tt) + len(td) + len(ts) + len(tc) AS total FROM tok)
+"""
 
 
 def _jaccard(c: str) -> str:
@@ -219,7 +244,7 @@ _CLUSTERS = f"""
 
 ORACLE_SQL = {
     "extracted_records": "SELECT lang AS technique_name, 'Document ' || doc_id AS title, '/d/' || doc_id AS sources, 0.5::DOUBLE AS confidence FROM documents",
-    "alias_persistence": "SELECT * FROM (VALUES ('a', 'b'), ('e', 'f')) t(old, merged)",
+    "alias_persistence": "SELECT DISTINCT source || '_' || lang AS old, source || '_en' AS merged FROM documents WHERE lang NOT IN ('en', 'de')",
     "batches_to_resume": "SELECT DISTINCT conv_id AS batch_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)",
     "health_report": """
         SELECT 'documents' AS name, 'ok' AS status, (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'pages', 'ok', (SELECT count(*) FROM pages)
@@ -229,7 +254,7 @@ ORACLE_SQL = {
         SELECT * FROM (VALUES ('php_disable_functions_bypass', 'php_disable_functions_bypass'), ('php_disabled_functions_bypass', 'php_disable_functions_bypass'),
                               ('type_juggling', 'php_juggling'), ('php_juggling', 'php_juggling'), ('xss', 'xss')) t(old, merged)
     """,
-    "trick_similarity": f"WITH {_TOKENS} SELECT x.id::BIGINT AS a, y.id::BIGINT AS b, round({_LIKENESS}, 6) AS similarity, {_DUPLICATE} AS duplicate FROM sized x JOIN sized y ON x.id + 1 = y.id",
+    "trick_similarity": f"WITH {_DOCUMENT_TOKENS} SELECT x.id::BIGINT AS a, y.id::BIGINT AS b, round({_LIKENESS}, 9) AS similarity, {_DUPLICATE} AS duplicate FROM sized x JOIN sized y ON x.id + 1 = y.id",
     "lexical_clusters": f"WITH RECURSIVE {_TOKENS}, {_CLUSTERS} SELECT id::BIGINT AS id, technique, leader::BIGINT AS leader FROM clusters",
     "dedup_candidates": f"""
         WITH RECURSIVE {_TOKENS}, {_CLUSTERS}, t AS (SELECT s.*, leader AS cluster FROM sized s JOIN clusters c ON c.id = s.id)
@@ -255,11 +280,10 @@ ORACLE_SQL = {
                (SELECT min(created_at) FROM t WHERE t.cluster = b.cluster) AS created_at
         FROM best b
     """,
-    "group_routing": f"""
-        WITH {_TOKENS}, c(node, component) AS (VALUES (3, 3), (4, 3), (7, 3), (1, 1), (2, 1))
-        SELECT component::BIGINT AS component, technique FROM (
-            SELECT coalesce(component, id) AS component, technique, row_number() OVER (PARTITION BY coalesce(component, id) ORDER BY confidence DESC, id) AS r
-            FROM tricks LEFT JOIN c ON node = id) WHERE r = 1
+    "group_routing": """
+        SELECT component, technique FROM (
+            SELECT component, s_name AS technique, row_number() OVER (PARTITION BY component ORDER BY s_acctbal DESC, s_suppkey) AS r
+            FROM (SELECT *, CASE WHEN s_nationkey % 2 = 0 THEN min(s_suppkey) OVER (PARTITION BY s_nationkey) ELSE s_suppkey END AS component FROM supplier)) WHERE r = 1
     """,
     "technique_name_pairs": """
         SELECT a, b, ratio::DOUBLE AS ratio, dice::DOUBLE AS dice, decision FROM (VALUES ('php_disable_functions_bypass', 'php_disabled_functions_bypass', 98.2456, 0.75, 'merge'),
@@ -269,17 +293,26 @@ ORACLE_SQL = {
                               ('json_injection', 'jsonp_injection', 96.5517, 0.5, 'judge'),
                               ('heap_integer_overflow', 'heap_integer_underflow', 88.3721, 0.666667, 'judge')) t(a, b, ratio, dice, decision)
     """,
-    "technique_content_pairs": "SELECT * FROM (VALUES ('php_juggling', 'type_juggling', 2::BIGINT)) t(a, b, shared)",
+    "technique_content_pairs": f"""
+        WITH t AS (SELECT DISTINCT source AS s, list_sort({_WORDS.format("string_split(text, chr(10))[1]")}) AS w FROM documents)
+        SELECT x.s AS a, y.s AS b, count(*) AS shared FROM t x JOIN t y ON x.w = y.w AND x.s < y.s WHERE len(x.w) > 0 GROUP BY x.s, y.s HAVING count(*) >= 2
+    """,
     "canonical_names": """
         SELECT * FROM (VALUES ('SQLi', 'sql_injection'), ('blind SQL injection', 'sql_injection'), ('XSS', 'cross_site_scripting'), ('unknown-trick (rare)', 'unknown_trick_rare'),
                               ('a very long name about blind_sql_injection in a login form', 'sql_injection'), ('a quite long unknown technique of the kind', 'c')) t(name, canonical)
     """,
     "fuzzy_names": "SELECT 'heap_overflows' AS name, 'heap_overflow' AS match, 96.2963::DOUBLE AS ratio",
-    "merged_mapping": "SELECT * FROM (VALUES ('a_long_name', 'b_name'), ('a_name', 'b_name'), ('b_name', 'b_name'), ('c_name', 'c_name')) t(old, merged)",
-    "source_positions": "SELECT * FROM (VALUES (1::BIGINT, 'u1,u3'), (2, 'u2'), (3, 'u1,u2,u3'), (4, ''), (5, 'u2')) t(record_id, sources)",
-    "source_removal": f"""
-        WITH {_TOKENS} SELECT id::BIGINT AS id, array_to_string(list_filter(sources, lambda u: u <> 'u1'), ',') AS sources FROM tricks
-        WHERE len(sources) = 0 OR len(list_filter(sources, lambda u: u <> 'u1')) > 0
+    "merged_mapping": """
+        WITH g AS (SELECT n_name, n_regionkey, n_nationkey % 7 <> 0 AS other, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation)
+        SELECT n_name AS old, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY other, n DESC, length(n_name), n_name) AS merged FROM g
+    """,
+    "source_positions": """
+        WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS record_id, l_linenumber, '/o/' || l_orderkey || '/a' AS a, '/o/' || l_orderkey || '/b' AS b FROM lineitem)
+        SELECT record_id, CASE l_linenumber WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN a WHEN 4 THEN b WHEN 5 THEN a || ',' || b ELSE '' END AS sources FROM l
+    """,
+    "source_removal": """
+        SELECT l_orderkey, l_linenumber, array_to_string(list_filter(CASE WHEN l_returnflag = l_linestatus THEN [l_returnflag] ELSE [l_returnflag, l_linestatus] END, lambda u: u <> 'O'), ',') AS sources
+        FROM lineitem WHERE NOT (l_returnflag = 'O' AND l_linestatus = 'O')
     """,
     "rendered_round_trip": f"""
         WITH {_TOKENS} SELECT technique, title, description, 'a parameter;a database' AS conditions, array_to_string(steps, ';') AS steps, code AS key_code,
