@@ -127,7 +127,7 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(set_name, n, pos, bucket, parity map): the first shingles of each text, in the order in which the commonest come last.
+    """(set_name, n, pos, side, bucket, parity map): the first shingles of each text, in the order in which the commonest come last.
 
     A bucket is a shingle with the size classes of two partners. The shingle at a position
     can be the first common one only of partners up to a size, which falls with the position.
@@ -136,28 +136,33 @@ def _prefix_buckets(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, sizes, places, maps, keys = [], [], [], [], []
+            owner, sizes, places, sides, maps, keys = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 found = shingle_set(text, words)
                 at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
                 rank = np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)
                 first = len(found) + (-percent * len(found)) // 100 + 1
-                cells, places_of = partner_cells(found[np.argsort(rank, kind="stable")[:first]], len(found), percent)
+                cells, places_of, sides_of = partner_cells(found[np.argsort(rank, kind="stable")[:first]], len(found), percent)
                 owner.append(np.full(len(cells), i))
                 sizes.append(np.full(len(cells), len(found)))
                 places.append(places_of)
+                sides.append(sides_of)
                 maps.append(np.repeat(parity_map(found)[:, None], len(cells), axis=1))
                 keys.append(cells.view(np.int64))
             if owner:
                 owners = pa.array(np.concatenate(owner))
-                columns = [batch.column(0).take(owners), *(pa.array(np.concatenate(x)) for x in (sizes, places, keys, *zip(*maps, strict=True)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["set_name", "n", "pos", "bucket", *_CELLS])
+                columns = [batch.column(0).take(owners), *(pa.array(np.concatenate(x)) for x in (sizes, places, sides, keys, *zip(*maps, strict=True)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["set_name", "n", "pos", "side", "bucket", *_CELLS])
 
-    return map_texts(texts.select("set_name", "text"), run, "set_name binary, n long, pos long, bucket long" + "".join(f", {c} long" for c in _CELLS))
+    return map_texts(texts.select("set_name", "text"), run, "set_name binary, n long, pos long, side long, bucket long" + "".join(f", {c} long" for c in _CELLS))
 
 
-def partner_cells(chosen: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys and positions of a set's first shingles: one for each size class that partners of the position can have."""
+def partner_cells(chosen: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket keys, positions and sides of a set's first shingles: one for each size class that partners of the position can have.
+
+    In a bucket of two classes the smaller set is on side 0, the larger on side 1, and only
+    sets of different sides are partners; in a bucket of one class (side -1) all are.
+    """
     pos = np.arange(len(chosen))
     least = -(-percent * n // 100)
     most = np.minimum(100 * n // percent, (100 + percent) * (n - pos) // percent - n)
@@ -166,7 +171,7 @@ def partner_cells(chosen: np.ndarray, n: int, percent: int) -> tuple[np.ndarray,
     at = np.repeat(pos, count)
     other = low + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
     classes = (np.minimum(own, other).astype(np.uint64) << np.uint64(32)) + np.maximum(own, other).astype(np.uint64)
-    return mix(chosen[at] + mix(classes + np.uint64(0x9E3779B97F4A7C15))), at
+    return mix(chosen[at] + mix(classes + np.uint64(0x9E3779B97F4A7C15))), at, np.where(other == own, -1, (other < own).astype(np.int64))
 
 
 def _with_company(cells: DataFrame) -> DataFrame:
@@ -194,11 +199,12 @@ def _apart(cells: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int)
 
     Cells from whose position on a set shares too little even with the smallest member are left out.
     """
-    named = cells.select("set_name", "n", *_CELLS, "pos", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
+    named = cells.select("set_name", "n", *_CELLS, "pos", "side", "bucket").join(labels.withColumnRenamed("node", "set_name"), "set_name", "left")
     named = named.join(sizes, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     named = named.withColumn("label", F.coalesce("component", "set_name")).drop("component")
-    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"))
-    open_ = named.join(spread.where(F.col("low") != F.col("high")).select("bucket", "members", "least_n"), "bucket")
+    spread = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.min("n").alias("least_n"), F.min("side").alias("left"), F.max("side").alias("right"))
+    both = (F.col("left") == -1) | (F.col("left") != F.col("right"))
+    open_ = named.join(spread.where((F.col("low") != F.col("high")) & both).select("bucket", "members", "least_n"), "bucket")
     return open_.where((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + F.col("least_n"))).drop("least_n")
 
 
@@ -226,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     cells = _with_company(classes.select("set_name", F.explode("buckets").alias("bucket")))
     maps = (F.col("parity")[i].alias(c) for i, c in enumerate(_CELLS))
     live = cells.join(classes.select("set_name", "n", *maps), "set_name")
-    live = scratch.save(live.withColumns({"label": F.col("set_name"), "weight": F.lit(1), "pos": F.lit(0)}), "live")
+    live = scratch.save(live.withColumns({"label": F.col("set_name"), "weight": F.lit(1), "pos": F.lit(0), "side": F.lit(-1)}), "live")
     wanted = live.select("set_name").distinct().join(classes.select("set_name", "doc_id"), "set_name")
     texts = scratch.save(_texts_of_classes(docs, wanted, words), "texts")
 
@@ -239,12 +245,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         hubs = live.withColumn("part", F.pmod(F.xxhash64("set_name"), F.lit(RANK_PARTS)))
         for keys in (["bucket", "part"], ["bucket"]):  # a large bucket is ranked in parts first
             hubs = hubs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= centres)
-        hubs = scratch.save(hubs.select("bucket", F.col("set_name").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight"), F.col("turn").alias("hub_turn"), *(F.col(c).alias(f"hub_{c}") for c in _CELLS)), "hubs")
+        hubs = scratch.save(hubs.select("bucket", F.col("set_name").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("side").alias("hub_side"), F.col("label").alias("hub_label"), F.col("weight").alias("hub_weight"), F.col("turn").alias("hub_turn"), *(F.col(c).alias(f"hub_{c}") for c in _CELLS)), "hubs")
         # What two sets can share from their first common shingle on must reach what likeness asks of their sizes.
         enough = (100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) >= percent * (F.col("n") + F.col("hub_n"))
         # And the hashes in which they surely differ must not exceed what it allows.
         differ = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub_{c}"))) for c in _CELLS))
         enough = enough & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("hub_n")))
+        enough = enough & ((F.col("side") == -1) | (F.col("side") != F.col("hub_side")))
         # Of two hubs in one bucket only the first in order takes the pair.
         near = (F.col("label") != F.col("hub_label")) & (F.struct("hub_weight", "hub_turn", "hub") < F.struct("weight", "turn", "set_name")) & enough
         if trace is not None:
@@ -260,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         if first:
             large = live.where(F.col("members") > STAR_GROWTH)
             dealt = _prefix_buckets(texts.join(large.select("set_name").distinct(), "set_name", "left_semi"), words, percent)
-            both = live.where(F.col("members") <= STAR_GROWTH).select("set_name", "n", *_CELLS, "pos", "bucket").unionByName(scratch.save(dealt, "prefixes"))
+            both = live.where(F.col("members") <= STAR_GROWTH).select("set_name", "n", *_CELLS, "pos", "side", "bucket").unionByName(scratch.save(dealt, "prefixes"))
             live = scratch.save(_apart(both, labels, sizes, percent), "live")
             scratch.drop("prefixes")
             if live.isEmpty():

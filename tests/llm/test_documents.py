@@ -143,8 +143,10 @@ def test_partner_cells_lose_no_pair():
             cells = []
             for s in (a, b):
                 ranked = s[np.argsort(order[s])].astype(np.uint64)
-                cells.append(set(N.partner_cells(ranked[: len(s) + (-percent * len(s)) // 100 + 1], len(s), percent)[0].tolist()))
-            assert cells[0] & cells[1]
+                keys, _, sides = N.partner_cells(ranked[: len(s) + (-percent * len(s)) // 100 + 1], len(s), percent)
+                cells.append(dict(zip(keys.tolist(), sides.tolist(), strict=True)))
+            met = [(cells[0][key], cells[1][key]) for key in cells[0].keys() & cells[1].keys()]
+            assert any(x == -1 or x != y for x, y in met)
 
 
 def test_keep_one(spark, edge_docs):
