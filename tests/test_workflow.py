@@ -6,6 +6,7 @@ from sievelake import models
 from sievelake.operators.chunking import parse_tricks
 from sievelake.plans import workflow as W
 from sievelake.sources import state
+from tests.conftest import SMALL
 
 ALIASES = [("sqli", "sql_injection", 0), ("sql_injection", "sql_injection", 1), ("xss", "xss", 2)]
 
@@ -127,6 +128,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0
     assert "bm25_topk" in capsys.readouterr().out
     assert main(["run", "no_such_query", "x"]) == 2
-    assert main(["run", "merged_mapping", "unused"]) == 0
-    assert main(["write", "merged_mapping", "unused", f"file://{tmp_path}/out"]) == 0
-    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
+    assert main(["run", "merged_mapping", SMALL]) == 0
+    assert main(["write", "merged_mapping", SMALL, f"file://{tmp_path}/out"]) == 0
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 25  # a row for each nation
