@@ -47,6 +47,8 @@ TRAIN_ROWS = 20_000
 CURVE_EVERY = 4
 #: Lengths, in words, of the passages that are compared beside the whole text: under the model of pairs, and under its last step.
 PAIR_PASSAGES, WORD_PASSAGES = (8,), (1, 2, 8, 32)
+#: Words that are looked up together, which bounds a worker's memory beside the model; a longer text is still one.
+WORDS_AT_ONCE = 100_000
 #: The model's tables come to the driver in parts by so many leading bits of their keys.
 PART_BITS = 2
 FEATURES = 2 + len(PAIR_PASSAGES) + len(WORD_PASSAGES)
@@ -156,8 +158,17 @@ class KneserNey:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """A row for each text: differences of log-likelihoods per word of the whole and of passages; zeros without words."""
-        out = np.zeros((len(texts), FEATURES))
-        hashes = [_hashes(t) for t in texts]
+        out, held, words = [], [], 0
+        for i, text in enumerate(texts):
+            held.append(_hashes(text))
+            words += len(held[-1])
+            if words >= WORDS_AT_ONCE or i + 1 == len(texts):
+                out.append(self._features_of(held))
+                held, words = [], 0
+        return np.concatenate(out) if out else np.zeros((0, FEATURES))
+
+    def _features_of(self, hashes: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(hashes), FEATURES))
         if not any(map(len, hashes)):
             return out
         by_pair, by_word = self.log_ratios(np.concatenate([_before(h) for h in hashes]), np.concatenate(hashes))
