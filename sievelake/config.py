@@ -18,8 +18,10 @@ class Settings:
     top_k: int = 10
     boost_weight: float = 0.3
     question_k: int = 50
+    boost_cooldown: float = 120.0
     judge_batch: int = 20
     max_content_chars: int = 500_000
+    max_output_tokens: int = 64_000
     question_source_chars: int = 32_000
 
     @property

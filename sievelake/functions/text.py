@@ -110,6 +110,20 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
 
 
+def legacy_text_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the words of two texts; 1 if both are empty or null, 0 if one is or has no words."""
+    x, y = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    return F.when((x == "") & (y == ""), F.lit(1.0)).otherwise(jaccard(word_set(x), word_set(y)))
+
+
+def legacy_list_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the words of two lists of texts; 1 if both are empty or null, 0 if one is or has no words."""
+    none = F.array().cast("array<string>")
+    x, y = F.coalesce(a, none), F.coalesce(b, none)
+    both = jaccard(word_set(F.array_join(x, " ")), word_set(F.array_join(y, " ")))
+    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(both)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two numeric arrays, in double; 0 if either has no length."""
 

@@ -11,18 +11,32 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from typing import Any, Protocol
+from typing import Any, Protocol, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievelake import prompts
 from sievelake.config import SETTINGS
 from sievelake.functions.text import word_set
 from sievelake.storage import map_texts
 
 
+V = TypeVar("V")
+
+
+class Answering(Protocol):
+    def answer(self, system: str, prompt: str) -> str:
+        """A language model's answer, as it came."""
+
+
+class Scorer(Protocol):
+    def score(self, query: str, documents: list[str]) -> list[tuple[int, float]]:
+        """(position in documents, relevance); positions may be missing."""
+
+
 class Extractor(Protocol):
     def extract(self, prompt: str) -> str:
         """The model's answer, as it came, for a batch prompt."""
@@ -170,6 +184,82 @@ class ThresholdJudge:
         return pairs.withColumn("verdict", F.when(F.col("similarity") >= self.threshold, "merge").otherwise("keep"))
 
 
+class ServiceJudge:
+    """Asks a service about pairs with evidence_a and evidence_b, 20 at a time; a batch that fails, and a pair without a verdict, is kept apart."""
+
+    def __init__(self, service: Answering, batch: int = SETTINGS.judge_batch, concurrency: int = 8):
+        self.service, self.batch, self.concurrency = service, batch, concurrency
+
+    def _verdicts(self, pairs: list[tuple[str | None, str | None]]) -> list[str]:
+        shown = [{"pair_id": n, "a": json.loads(a or "null"), "b": json.loads(b or "null")} for n, (a, b) in enumerate(pairs)]
+        try:
+            found = verdicts_of(parse_json(self.service.answer(prompts.JUDGE, json.dumps(shown))))
+        except Exception:  # whatever the service raises: pairs nobody judged are not merged
+            found = {}
+        return [found.get(n, "keep") for n in range(len(pairs))]
+
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        at = [pairs.columns.index(c) for c in ("evidence_a", "evidence_b")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for start in range(0, whole.num_rows, self.batch):
+                    part = whole.slice(start, self.batch)
+                    verdicts = self._verdicts(list(zip(*(part.column(k).to_pylist() for k in at), strict=True)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(verdicts)], names=[*part.schema.names, "verdict"])
+
+        return map_texts(pairs.repartition(self.concurrency), run, T.StructType([*pairs.schema, T.StructField("verdict", T.StringType())]))
+
+
+class ServiceReranker:
+    """Scores the recalled texts by a service; those it leaves out have 0.0, and where it fails or finds nothing all have, which keeps the recall's order."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer = scorer
+
+    def _scores(self, query: str, documents: list[str]) -> list[float]:
+        out = [0.0] * len(documents)
+        try:
+            for position, score in self.scorer.score(query, documents):
+                if 0 <= position < len(documents):
+                    out[position] = float(score)
+        except Exception:  # whatever the service raises
+            return [0.0] * len(documents)
+        return out
+
+    def rerank(self, candidates: DataFrame, query: DataFrame) -> DataFrame:
+        asked = F.broadcast(query.select(F.col("text").alias("__asked")).limit(1))
+        rows = candidates.crossJoin(asked).coalesce(1).sortWithinPartitions("recall_rank")  # at most the recall's rows
+        at, text = rows.columns.index("__asked"), rows.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            documents = [t or "" for b in held for t in b.column(text).to_pylist()]
+            if not documents:
+                return
+            scores = iter(self._scores(held[0].column(at)[0].as_py() or "", documents))
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([next(scores) for _ in range(b.num_rows)], pa.float64())], names=[*b.schema.names, "rerank_score"])
+
+        return map_texts(rows, run, T.StructType([*rows.schema, T.StructField("rerank_score", T.DoubleType())])).drop("__asked")
+
+
+class OptionalSignal:
+    """A call that may fail: None then, and without asking again until the cooldown is over."""
+
+    def __init__(self, cooldown: float = SETTINGS.boost_cooldown, clock: Callable[[], float] = time.monotonic):
+        self.cooldown, self.clock, self.again_at = cooldown, clock, float("-inf")
+
+    def ask(self, call: Callable[[], V]) -> V | None:
+        if self.clock() < self.again_at:
+            return None
+        try:
+            return call()
+        except Exception:  # optional: a search goes on without it
+            self.again_at = self.clock() + self.cooldown
+            return None
+
+
 class TitleExtractor:
     """One record per prompt block: its category and title."""
 
@@ -193,3 +283,31 @@ def embed_column(df: DataFrame, embedder: Embedder, text: str = "content", out:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*batch.schema.names, out])
 
     return map_texts(df, run, T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
+def questions_of(answer: str) -> list[str]:
+    """The questions of an answer: a list, or that of `questions`; only those of more than 8 characters."""
+    parsed = parse_json(answer)
+    found = parsed.get("questions") if isinstance(parsed, dict) else parsed
+    return [q for q in map(str, found) if len(q) > 8] if isinstance(found, list) else []
+
+
+def generate_questions(files: DataFrame, service: Answering, concurrency: int = 8) -> DataFrame:
+    """(technique_name, question_text) of technique files (name, content), in the answer's order; a file whose call fails has none.
+
+    A service is shown the first 32,000 characters of a file, as a setting bounds its prompt.
+    """
+
+    def asked(content: str) -> list[str]:
+        try:
+            return questions_of(service.answer(prompts.QUESTIONS, content[: SETTINGS.question_source_chars]))
+        except Exception:  # whatever the service raises
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [asked(content or "") for content in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["technique_name", "questions"])
+
+    answered = map_texts(files.select("name", "content").repartition(concurrency), run, "technique_name string, questions array<string>")
+    return answered.select("technique_name", F.explode("questions").alias("question_text"))

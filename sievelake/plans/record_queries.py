@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievelake.functions.text import token_estimate
+from sievelake.functions.text import legacy_list_similarity, legacy_text_similarity, token_estimate
 from sievelake.models import TitleExtractor
 from sievelake.operators import canonical as C
 from sievelake.operators import similarity as M
 from sievelake.operators.batching import local_batches, number_batches, unprocessed
 from sievelake.operators.chunking import parse_tricks
 from sievelake.operators.cluster import leader_clusters, merge_clusters, routed_groups
+from sievelake.operators.evidence import group_evidence, trick_evidence
 from sievelake.operators.relational import positions_to_urls, remove_source
 from sievelake.operators.render import preview, render_files
 from sievelake.plans import workflow as W
@@ -48,6 +49,26 @@ def trick_similarity(spark, sf):
     return pairs.select("a", "b", F.round(M.trick_similarity(F.col("x"), F.col("y")), 9).alias("similarity"), M.is_duplicate(F.col("x"), F.col("y")).alias("duplicate"))
 
 
+def legacy_similarity(spark, sf):
+    """Each document with the next one: their texts, and their sources and languages as lists."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.array("source", "lang").alias("kinds"))
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("kinds").alias("next_kinds"))
+    text, kinds = legacy_text_similarity(F.col("text"), F.col("next")), legacy_list_similarity(F.col("kinds"), F.col("next_kinds"))
+    return d.join(following, "doc_id").select("doc_id", F.round(text, 9).alias("text_similarity"), F.round(kinds, 9).alias("list_similarity"))
+
+
+def judge_trick_evidence(spark, sf):
+    shown = F.from_json("evidence", "technique string, title string, description string, key_code string")
+    return trick_evidence(_document_tricks(spark, sf)).select("id", shown.alias("e")).select("id", "e.technique", F.md5("e.title").alias("title_md5"), F.md5("e.description").alias("description_md5"), "e.key_code")
+
+
+def judge_group_evidence(spark, sf):
+    """Orders as records, with their priority as technique, status and year as title."""
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("technique"), F.concat_ws(" ", "o_orderstatus", F.year("o_orderdate").cast("string")).alias("title"))
+    shown = F.from_json("evidence", "name string, trick_count long, sample_titles array<string>")
+    return group_evidence(o).select(shown.alias("e")).select("e.name", "e.trick_count", F.array_join("e.sample_titles", ";").alias("sample_titles"))
+
+
 def lexical_clusters(spark, sf):
     return leader_clusters(_tricks(spark))
 
@@ -193,7 +214,7 @@ QUERIES = {
     for f in (
         trick_similarity, lexical_clusters, dedup_candidates, cluster_merge, group_routing, technique_name_pairs, technique_content_pairs, canonical_names,
         fuzzy_names, merged_mapping, source_positions, source_removal, rendered_files, rendered_round_trip, rendered_preview, extracted_records,
-        alias_persistence, batches_to_resume, health_report, merged_techniques,
+        alias_persistence, batches_to_resume, health_report, merged_techniques, legacy_similarity, judge_trick_evidence, judge_group_evidence,
     )
 }
 
@@ -243,6 +264,22 @@ _CLUSTERS = f"""
 """
 
 ORACLE_SQL = {
+    "legacy_similarity": f"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS t, {_WORDS.format("concat_ws(' ', source, lang)")} AS k FROM documents),
+             p AS (SELECT a.doc_id, a.text = '' AND b.text = '' AS none, len(list_intersect(a.t, b.t)) AS ti, len(list_intersect(a.k, b.k)) AS ki,
+                          len(a.t) AS ta, len(b.t) AS tb, len(a.k) AS ka, len(b.k) AS kb FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+        SELECT doc_id, round(CASE WHEN none THEN 1.0::DOUBLE WHEN ta = 0 OR tb = 0 THEN 0 ELSE ti / (ta + tb - ti) END, 9) AS text_similarity,
+               round(CASE WHEN ka = 0 OR kb = 0 THEN 0.0::DOUBLE ELSE ki / (ka + kb - ki) END, 9) AS list_similarity FROM p
+    """,
+    "judge_trick_evidence": """
+        SELECT doc_id AS id, source AS technique, md5(string_split(text, chr(10))[1]) AS title_md5, md5(substring(coalesce(text, ''), 1, 300)) AS description_md5, coalesce(source, '') AS key_code FROM documents
+    """,
+    "judge_group_evidence": r"""
+        WITH t AS (SELECT o_orderpriority AS name, array_to_string(list_sort(regexp_extract_all(lower(o_orderstatus || ' ' || year(o_orderdate)), '[\p{L}\p{N}_]+')), ' ') AS title FROM orders),
+             c AS (SELECT name, title, count(*) AS n FROM t GROUP BY ALL),
+             r AS (SELECT *, sum(n) OVER (PARTITION BY name) AS total, row_number() OVER (PARTITION BY name ORDER BY n DESC, title) AS nth FROM c)
+        SELECT name, max(total)::BIGINT AS trick_count, string_agg(title, ';' ORDER BY nth) FILTER (nth <= 6) AS sample_titles FROM r GROUP BY name
+    """,
     "extracted_records": "SELECT lang AS technique_name, 'Document ' || doc_id AS title, '/d/' || doc_id AS sources, 0.5::DOUBLE AS confidence FROM documents",
     "alias_persistence": "SELECT DISTINCT source || '_' || lang AS old, source || '_en' AS merged FROM documents WHERE lang NOT IN ('en', 'de')",
     "batches_to_resume": "SELECT DISTINCT conv_id AS batch_id FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)",

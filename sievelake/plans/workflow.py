@@ -20,9 +20,11 @@ from sievelake.operators.canonical import canonical_names, merged_mapping, regro
 from sievelake.operators.chunking import chunk_files
 from sievelake.operators.cluster import leader_clusters, merge_clusters, routed_groups
 from sievelake.operators.components import connected_components
+from sievelake.operators.evidence import group_evidence, trick_evidence, with_evidence
 from sievelake.operators.incremental import refresh_vectors
 from sievelake.operators.relational import remove_source
 from sievelake.operators.render import preview, render_files
+from sievelake.prompts import extraction_message
 from sievelake.sources.files import with_trick_defaults
 from sievelake.sources.state import write_index
 from sievelake.storage import Scratch, map_texts
@@ -65,7 +67,7 @@ def _prompt(items: list[dict]) -> str:
         f"Content:\n{i['cleaned_content']}\n</writeup_{n}>"
         for n, i in enumerate(items, 1)
     )
-    return "\n\n".join(blocks)
+    return extraction_message("\n\n".join(blocks))
 
 
 def _sources(items: list[dict], indexes: list[int] | None) -> list[str]:
@@ -125,7 +127,8 @@ def merge_techniques(tricks: DataFrame, aliases: DataFrame, judge: Judge | None
     accepted = decided.where("decision = 'merge'").select("a", "b").union(by_content.select("a", "b"))
     pending = decided.where("decision = 'judge'").withColumn("similarity", F.col("ratio") / 100)
     if judge is not None:
-        accepted = accepted.union(judge.judge(pending).where("verdict = 'merge'").select("a", "b"))
+        judged = scratch.save(judge.judge(with_evidence(pending, group_evidence(tricks))), "judged")  # no pair is asked about twice
+        accepted = accepted.union(judged.where("verdict = 'merge'").select("a", "b"))
     return merged_mapping(groups, accepted.distinct(), scratch), pending
 
 
@@ -139,8 +142,9 @@ def dedup_tricks(tricks: DataFrame, embedder: Embedder | None = None, judge: Jud
     decided = scratch.save(M.vector_decisions(pairs, vectors, judged=judge is not None), "decided")
     accepted = decided.where("decision = 'merge'").select("a", "b")
     if judge is not None:
-        grey = decided.where("decision = 'grey'")
-        accepted = accepted.union(judge.judge(grey.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))).where("verdict = 'merge'").select("a", "b"))
+        grey = decided.where("decision = 'grey'").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+        judged = scratch.save(judge.judge(with_evidence(grey, trick_evidence(rows))), "judged")
+        accepted = accepted.union(judged.where("verdict = 'merge'").select("a", "b"))
     labels = scratch.save(connected_components(accepted, scratch), "labels")
     routes = routed_groups(rows.select("id", "technique", "confidence"), labels)
     placed = rows.drop("cluster").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component")

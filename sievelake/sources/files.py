@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,7 @@ from sievelake import schemas
 from sievelake.config import SETTINGS
 from sievelake.functions.html import clean_html
 from sievelake.functions.text import worthwhile
+from sievelake.storage import map_texts
 
 _LISTS = ("conditions", "implementation_steps", "detection_signs")
 
@@ -129,6 +133,24 @@ def write_markdown(files: DataFrame, path: str, spark: SparkSession) -> None:
             fs.delete(status.getPath(), False)
 
 
+def write_json_array(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Records as JSON arrays, a record a line, one array for each file of the directory; `files` bounds their number."""
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["  # before the first record; a comma before each later one
+        for batch in batches:
+            lines = []
+            for record in batch.column(0).to_pylist():
+                lines.append(f"{mark}{record}")
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], names=["value"])
+
+    records = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    records = records.coalesce(files) if files else records
+    map_texts(records, framed, "value string").write.mode("overwrite").text(path)
+
+
 def snapshot(df: DataFrame, path: str, keep_backup: bool = False, stamp: str = "backup") -> None:
     """Replace a table; with keep_backup the old one stays beside it under a stamped name."""
     spark = df.sparkSession

@@ -98,6 +98,26 @@ def read_alias_overrides(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(bare(key).alias("alias"), bare(value).alias("canonical"), F.col("pos").cast("long").alias("pos"))
 
 
+def write_alias_overrides(aliases: DataFrame, path: str) -> None:
+    """The alias table (alias, canonical) as one `technique_mapping` block in order of alias, as read_alias_overrides reads it.
+
+    Names hold no colon, number sign or quote: clean names never do. Null names are left out.
+    """
+    lines = aliases.where("alias is not null and canonical is not null").select(F.col("alias").alias("at"), F.concat(F.lit("  "), "alias", F.lit(": "), "canonical").alias("value"))
+    head = aliases.sparkSession.createDataFrame([(None, "technique_mapping:")], lines.schema)
+    block = head.unionByName(lines).coalesce(1).sortWithinPartitions(F.asc_nulls_first("at"), "value")  # a table that people keep by hand
+    block.select("value").write.mode("overwrite").text(path)
+
+
+def save_questions(questions: DataFrame, path: str) -> DataFrame:
+    """Append the questions (technique_name, question_text) of techniques that the stored table has none of; returns the table."""
+    spark = questions.sparkSession
+    if path_exists(spark, path):
+        questions = questions.join(spark.read.parquet(path).select("technique_name").distinct(), "technique_name", "left_anti")
+    questions.select("technique_name", "question_text").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 class Fetcher(Protocol):
     def fetch(self, urls: DataFrame) -> DataFrame:
         """(url, html) of the urls that could be read."""
