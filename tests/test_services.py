@@ -191,3 +191,26 @@ def test_diagnose(spark, tmp_path):
     assert D.diagnose(spark, setup, connect=False)[1] == 0
     broken = {r.name: r.status for r in D.diagnose(spark, D.Setup(data=f"{base}/broken.json"), connect=False)[0].collect()}
     assert broken["data"] == "fail"
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sievelake.__main__ import main
+
+    base = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "heap spray"), (2, "stack pivot pivot")], "doc_id long, text string").write.parquet(f"{base}/docs")
+    spark.createDataFrame([(2, "stack pivot pivot"), (3, "heap heap")], "doc_id long, text string").write.parquet(f"{base}/more")
+    assert main(["build-index", f"{base}/docs", f"{base}/index"]) == 0
+    assert main(["add-to-index", f"{base}/more", f"{base}/index"]) == 0
+    capsys.readouterr()
+    assert main(["query", f"{base}/index", "heap?"]) == 0
+    shown = capsys.readouterr().out
+    assert [line.split("|")[1].strip() for line in shown.splitlines() if line.startswith("|")] == ["doc_id", "3", "1"]
+    assert main(["query", f"{base}/index", "..."]) == 0
+    record = {"technique_name": "SQLi", "title": "time based", "category": "web", "description": "sleep", "source_writeups": ["u"], "confidence": 0.5}
+    (tmp_path / "tricks.json").write_text(json.dumps([record, record, {**record, "title": "union", "description": "columns"}]))
+    (tmp_path / "alias.yaml").write_text("technique_mapping:\n  sqli: sql_injection\n")
+    assert main(["dedup", f"{base}/tricks.json", f"{base}/alias.yaml", f"{base}/out"]) == 0
+    text = (tmp_path / "out" / "sql_injection.md").read_text()
+    assert text.count("time based") == 1 and "union" in text
+    assert main(["check", f"{base}/tricks.json"]) == 1  # no key is set
+    assert main(["check"]) == 2 and main([]) == 2 and main(["query", "x"]) == 2
